@@ -9,10 +9,11 @@ operator has no shuffle; the vocabulary, of fixed size, is sent to the executors
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 from itertools import chain
 from pathlib import Path
 
@@ -140,6 +141,7 @@ class Vocabulary:
         self.lengths = np.fromiter(map(len, words), np.int64, len(words))
         self.ends = np.cumsum(self.lengths)
         self.data = np.frombuffer(b"".join(words), np.uint8)
+        self.key = hashlib.md5(self.data.tobytes() + self.lengths.tobytes() + self.ids.tobytes()).hexdigest()
         self.hash = PerfectHash(spans.span_hashes(self.data, self.ends - self.lengths, self.ends))
 
     @staticmethod
@@ -236,20 +238,22 @@ class Encoder:
         return ids, np.diff(edges)
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def worker_encoder(shared) -> Encoder:  # noqa: ANN001
-    """The worker's encoder for a broadcast vocabulary, made once."""
-    if shared.id not in _encoders:
+def worker_encoder(key: str, shared) -> Encoder:  # noqa: ANN001
+    """The worker's encoder for a broadcast vocabulary, made once; `key` is the vocabulary's."""
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[shared.id] = Encoder(shared.value)
-    return _encoders[shared.id]
+        _encoders[key] = Encoder(shared.value)
+    return _encoders[key]
 
 
-def share(df: DataFrame, vocabulary: Vocabulary | None = None):  # noqa: ANN201
+def share(df: DataFrame, vocabulary: Vocabulary | None = None) -> Callable[[], Encoder]:
     """Send a vocabulary to the executors; its size is that of the public file, whatever the corpus."""
-    return df.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary.load())
+    vocabulary = vocabulary or Vocabulary.load()
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    return partial(worker_encoder, vocabulary.key, shared)
 
 
 def _over_texts(df: DataFrame, text: str, column: T.StructField, make) -> DataFrame:  # noqa: ANN001
@@ -276,10 +280,10 @@ def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary
     repeated; an empty table gives no rows; a text of any length is encoded whole. A column named as `ids` raises
     ValueError.
     """
-    shared = share(df, vocabulary)
+    encoder = share(df, vocabulary)
 
     def make(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-        values, counts = worker_encoder(shared).encode(data, offsets)
+        values, counts = encoder().encode(data, offsets)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
     return _over_texts(df, text, T.StructField(ids, T.ArrayType(T.IntegerType())), make)
@@ -287,9 +291,9 @@ def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary
 
 def count_tokens(df: DataFrame, text: str = "text", count: str = "n_tokens", vocabulary: Vocabulary | None = None) -> DataFrame:
     """Replace the column `text` by `count`, its number of tokens (0 for an empty or null text)."""
-    shared = share(df, vocabulary)
+    encoder = share(df, vocabulary)
 
     def make(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-        return pa.array(worker_encoder(shared).encode(data, offsets)[1])
+        return pa.array(encoder().encode(data, offsets)[1])
 
     return _over_texts(df, text, T.StructField(count, T.LongType()), make)
