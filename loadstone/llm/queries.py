@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadstone.llm import bpe, packing
+from loadstone.llm import bpe, packing, sentences
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,5 +19,9 @@ def p7_bins(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_bins)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(_table(spark, d, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p7_bins, p8_found)}
 ORACLE: dict[str, str] = {}
