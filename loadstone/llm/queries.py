@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadstone.llm import bpe, packing, sentences
+from loadstone.llm import bpe, packing, sentences, variants
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return variants.spelling_groups(_table(spark, d, "top_shippers"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.group_pairs(p3_groups(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(_table(spark, d, "documents").select("doc_id", "text"))
 
@@ -23,5 +31,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(_table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_bins, p8_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p6_ids, p7_bins, p8_found)}
 ORACLE: dict[str, str] = {}
