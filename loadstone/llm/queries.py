@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadstone.llm import bpe, packing, sentences, variants
+from loadstone.llm import bpe, matching, packing, sentences, variants
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,6 +19,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return variants.group_pairs(p3_groups(spark, d))
 
 
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    events = _table(spark, d, "all_events")
+    links = events.filter(events["edge_type"].startswith("identity_match") & (events["dst_type"] == "ticker")).select("src_id", "dst_id", "confidence")
+    return matching.match_companies(_table(spark, d, "top_shippers"), _table(spark, d, "sec_tickers"), links)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_matches(spark, d).filter("accepted").select("shipper_id", "cik")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(_table(spark, d, "documents").select("doc_id", "text"))
 
@@ -31,5 +41,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(_table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p6_ids, p7_bins, p8_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_matches, p6_ids, p7_bins, p8_found)}
 ORACLE: dict[str, str] = {}

@@ -130,7 +130,7 @@ EVIDENCE = [("city", 4), ("trade", 3), ("state", 2), ("goods", 1)]
 
 
 def spelling_groups(names_df: DataFrame, id: str = "shipper_id", name: str = "shipper_norm", state: str | None = "main_state", city: str | None = "main_city", goods: str | None = "sctg2", k: int = DISTANCE) -> DataFrame:
-    """The group of every named row: `id`, kind ("org" or "person") and group.
+    """The group of every named row: `id`, kind ("org" or "person"), group and line (of business, null if unknown).
 
     Rows share a group if they name the same organisation or person: cores of one family, and one line of business, or one
     given name (short forms are known), generation (JR, SR) and no contradicting initial. A missing line of business,
@@ -156,15 +156,15 @@ def spelling_groups(names_df: DataFrame, id: str = "shipper_id", name: str = "sh
     orgs = resolve(orgs, ["family"], "business", loose, EVIDENCE)  # a remnant that fits no known line may be of another word
     without = orgs.groupBy("family").agg(F.count("business").alias("known"))
     orgs = orgs.join(without, "family").withColumn("part", F.when(F.col("business").isNotNull(), F.col("business")).when(F.col("known") == 0, F.lit("")).otherwise(F.concat(F.lit("?"), F.col("id"))))
-    orgs = orgs.select("row", "kind", F.concat_ws("|", "family", "part").alias("label"))
+    orgs = orgs.select("row", "kind", F.concat_ws("|", "family", "part").alias("label"), "business")
 
     people = located.filter(F.col("kind") == "person").withColumn("only", F.when(F.size("given") == 1, F.col("given")[0]))
     people = resolve(people, ["family"], "only", F.array_contains("given", F.col("only_2")), EVIDENCE).withColumn("only", F.coalesce("only", F.array_join("given", "/")))
     people = resolve(people, ["family", "only"], "suffix", F.col("initial").isNull() | F.col("initial_2").isNull() | (F.col("initial") == F.col("initial_2")), [*EVIDENCE, ("initial", 8)])
     people = people.withColumn("generation", F.coalesce("suffix", F.lit("")))
     people = resolve(people, ["family", "only", "generation"], "initial", F.lit(True), EVIDENCE)
-    people = people.select("row", "kind", F.concat_ws("|", "family", "only", "generation", F.coalesce("initial", F.lit(""))).alias("label"))
-    return orgs.unionByName(people).select(F.col("row").alias(id), "kind", F.md5("label").alias("group"))
+    people = people.select("row", "kind", F.concat_ws("|", "family", "only", "generation", F.coalesce("initial", F.lit(""))).alias("label"), F.lit(None).cast("string").alias("business"))
+    return orgs.unionByName(people).select(F.col("row").alias(id), "kind", F.md5("label").alias("group"), F.col("business").alias("line"))
 
 
 def group_pairs(groups: DataFrame, id: str = "shipper_id") -> DataFrame:
