@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loadstone.plans import data_queries
+from loadstone.plans import data_queries, reference_queries, reference_sql
 
-QUERIES = {**data_queries.QUERIES}
-ORACLE = {**data_queries.ORACLE}
+QUERIES = {**reference_queries.QUERIES, **data_queries.QUERIES}
+ORACLE = {**reference_sql.ORACLE, **data_queries.ORACLE}
