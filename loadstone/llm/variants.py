@@ -45,43 +45,60 @@ def parse_names(df: DataFrame, column: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _cuts(length: Column, k: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and length of each of the k + 1 segments of a string of some length, as even as possible."""
-    base, longer = F.floor(length / (k + 1)).cast("int"), (length % (k + 1)).cast("int")
-    out = []
+def cuts(n: int, k: int) -> list[tuple[int, int]]:
+    """Start and length of each of the k + 1 segments of a string of n characters, as even as possible, longer ones last."""
+    base, longer = divmod(n, k + 1)
+    out, at = [], 0
     for i in range(k + 1):
-        extra = F.greatest(F.lit(0), i - (k + 1 - longer))
-        out.append((base * i + extra, base + F.when(F.lit(i) >= (k + 1) - longer, 1).otherwise(0)))
+        size = base + (i >= k + 1 - longer)
+        out.append((at, size))
+        at += size
     return out
 
 
+def index_entries(s: str, k: int) -> list[str]:
+    """The segments of an indexed string as keys: its length, the segment's number and text."""
+    return [f"{len(s)}:{i}:{s[p : p + size]}" for i, (p, size) in enumerate(cuts(len(s), k))] if len(s) > k else []
+
+
+def probe_entries(s: str, k: int) -> list[str]:
+    """The keys that a string within distance k may have in the index.
+
+    By the left the i segments before, by the right the k - i behind can hold the other edits: of a string longer by d,
+    segment i is looked up moved by at most i places, and by at most k - i once d is counted in.
+    """
+    found = set()
+    for d in range(-k, k + 1):
+        n = len(s) + d
+        if n <= k or len(s) <= k:
+            continue
+        for i, (p, size) in enumerate(cuts(n, k)):
+            for at in range(max(0, p - i, p - d - (k - i)), min(len(s) - size, p + i, p - d + (k - i)) + 1):
+                found.add(f"{n}:{i}:{s[at : at + size]}")
+    return sorted(found)
+
+
+def _entries(df: DataFrame, name: str, make, k: int) -> DataFrame:  # noqa: ANN001
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [make(x, k) for x in batch.column(1).to_pylist()]
+            rows = pa.array([i for i, m in enumerate(made) for _ in m], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([x for m in made for x in m], pa.string())], names=["kind", name, "entry"])
+
+    return df.select("kind", "s").distinct().mapInArrow(run, f"kind string, {name} string, entry string")
+
+
 def segment_join(left: DataFrame, right: DataFrame, k: int = DISTANCE, short: int = SHORT) -> DataFrame:
-    """Pairs (a, b, d) of distinct strings of `left` and `right` (both: kind, s) of one kind within edit distance k.
+    """Pairs (kind, a, b, d) of strings of `left` and `right` (both: kind, s) of one kind within edit distance k.
 
-    Strings shorter than `short` are held to k - 1; those of k characters or fewer only meet their equals. The lookup uses
-    the places that the multi-match-aware bound leaves, (k * k - d * d) / 2 + k + 1 of them per length difference d. Hot
-    segments are spread by AQE's skew join; nothing is capped.
+    Strings shorter than `short` are held to k - 1; those of k characters or fewer are left out. Segments are looked up at
+    (k * k - d * d) / 2 + k + 1 places per length difference d. Hot segments are spread by AQE's skew join; nothing is
+    capped. The distance is verified in a band of k.
     """
-    length = F.length("s")
-    index = left.select("kind", "s").distinct().filter(length > k)
-    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.substring(F.col("s"), p + 1, n).alias("g")) for i, (p, n) in enumerate(_cuts(length, k))])
-    index = index.select("kind", F.col("s").alias("a"), length.alias("n"), F.explode(entries).alias("x")).select("kind", "a", "n", "x.i", "x.g")
-    probes = right.select("kind", "s").distinct().filter(length > k)
-    looks = []
-    for d in range(-k, k + 1):  # the indexed string is longer by d
-        n = length + d
-        for i, (p, size) in enumerate(_cuts(n, k)):
-            for shift in range(-k, k + 1):
-                # by the left the i segments before, by the right the k - i behind can hold the other edits
-                if abs(shift) > i or abs(shift + d) > k - i:
-                    continue
-                at = p + shift
-                looks.append(F.when((at >= 0) & (n > k) & (at + size <= length), F.struct(n.cast("int").alias("n"), F.lit(i).alias("i"), F.substring(F.col("s"), at + 1, size).alias("g"))))
-    probes = probes.select("kind", F.col("s").alias("b"), F.explode(F.array_compact(F.array(*looks))).alias("x")).select("kind", "b", "x.n", "x.i", "x.g")
-    met = index.join(probes.distinct(), ["kind", "n", "i", "g"]).select("kind", "a", "b").distinct()
+    met = _entries(left, "a", index_entries, k).join(_entries(right, "b", probe_entries, k), ["kind", "entry"])
     most = F.when(F.least(F.length("a"), F.length("b")) < short, k - 1).otherwise(k)
-    near = met.withColumn("d", F.levenshtein("a", "b", k)).filter((F.col("d") >= 0) & (F.col("d") <= most))
-    return near.select("kind", "a", "b", "d")
+    near = met.select("kind", "a", "b").distinct().withColumn("d", F.levenshtein("a", "b", k))
+    return near.filter((F.col("d") >= 0) & (F.col("d") <= most))
 
 
 def core_families(parsed: DataFrame, k: int = DISTANCE) -> DataFrame:
@@ -123,7 +140,8 @@ def resolve(records: DataFrame, within: list[str], attribute: str, allowed: Colu
         F.count(F.lit(1)).alias("n"), F.max(F.struct("points", f"{attribute}_2")).alias("best"), F.sort_array(F.collect_list("points"), False).alias("all")
     )  # at most as many entries as a group has values
     sure = best.filter((F.col("n") == 1) | (F.col("all")[0] > F.col("all")[1])).select("id", F.col(f"best.{attribute}_2").alias("filled"))
-    return records.join(sure, "id", "left").withColumn(attribute, F.coalesce(attribute, "filled")).drop("filled")
+    # written out: the records are read three times here, and calls follow one another
+    return materialize(records.join(sure, "id", "left").withColumn(attribute, F.coalesce(attribute, "filled")).drop("filled"))
 
 
 EVIDENCE = [("city", 4), ("trade", 3), ("state", 2), ("goods", 1)]
