@@ -17,11 +17,11 @@ LAYOUTS = {
 }
 
 #: White space of a value's ends: ASCII and Unicode blanks.
-BLANKS = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
 def strip_blanks(value: Column) -> Column:
-    return F.regexp_replace(value, rf"^{BLANKS}+|{BLANKS}+$", "")
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def dot_number(value: Column) -> Column:
@@ -70,8 +70,11 @@ def value_reason(columns: dict[str, Column]) -> Column:
 _SEPARATOR, _ESCAPE = "\x01", "\x02"
 
 
-def _quote_parts(line: Column) -> Column:
-    return F.split(line, '"', -1)
+def _quote_parts(line: Column) -> tuple[Column, Column, Column, Column]:
+    """A record cut at its double quotes: the number of parts, the first, those between, and the last."""
+    parts = F.split(line, '"', -1)
+    n = F.size(parts)
+    return n, parts[0], F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0))), F.element_at(parts, -1)
 
 
 def quoting_reason(line: Column) -> Column:
@@ -81,32 +84,27 @@ def quoting_reason(line: Column) -> Column:
     quotes is even, no bare part holds a line break, and each outside part between two enclosures is empty (a doubled
     quote) or begins and ends with a comma.
     """
-    parts = _quote_parts(line)
-    n = F.size(parts)
-    glued = F.exists(
-        F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
-        lambda x: (x["i"] % 2 == 0)
-        & (
-            ((x["i"] == 0) & (n > 1) & (x["p"] != "") & ~x["p"].endswith(","))
-            | ((x["i"] == n - 1) & (n > 1) & (x["p"] != "") & ~x["p"].startswith(","))
-            | ((x["i"] > 0) & (x["i"] < n - 1) & (x["p"] != "") & ~(x["p"].startswith(",") & x["p"].endswith(",")))
-        ),
+    n, first, between, last = _quote_parts(line)
+    outside = F.filter(between, lambda p, i: i % 2 == 1)
+    glued = (n > 1) & (
+        ((first != "") & ~first.endswith(",")) | ((last != "") & ~last.startswith(",")) | F.exists(outside, lambda p: (p != "") & ~(p.startswith(",") & p.endswith(",")))
     )
-    breaks = F.exists(F.filter(parts, lambda p, i: i % 2 == 0), lambda p: p.rlike(r"[\r\n]"))
-    return F.when(n % 2 == 0, F.lit("unclosed_quote")).when(glued, F.lit("misplaced_quote")).when(breaks, F.lit("bare_line_break"))
+    broken = lambda p: p.rlike(r"[\r\n]")
+    return F.when(n % 2 == 0, F.lit("unclosed_quote")).when(glued, F.lit("misplaced_quote")).when(broken(first) | broken(last) | F.exists(outside, broken), F.lit("bare_line_break"))
 
 
 def split_record(line: Column) -> Column:
     """The field values of a record whose quoting is right: enclosures opened, doubled quotes made single."""
-    parts = _quote_parts(line)
-    n = F.size(parts)
+    n, first, between, last = _quote_parts(line)
+
+    def kept(p: Column) -> Column:
+        return F.replace(F.replace(p, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_SEPARATOR), F.lit(_ESCAPE + "a"))
 
-    def encode(p: Column, i: Column) -> Column:
-        kept = F.replace(F.replace(p, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_SEPARATOR), F.lit(_ESCAPE + "a"))
-        doubled = (p == "") & (i > 0) & (i < n - 1)
-        return F.when(i % 2 == 1, kept).when(doubled, F.lit('"')).otherwise(F.replace(kept, F.lit(","), F.lit(_SEPARATOR)))
+    def bare(p: Column) -> Column:
+        return F.replace(kept(p), F.lit(","), F.lit(_SEPARATOR))
 
-    joined = F.array_join(F.transform(parts, encode), "")
+    middle = F.transform(between, lambda p, i: F.when(i % 2 == 0, kept(p)).when(p == "", F.lit('"')).otherwise(bare(p)))
+    joined = F.concat(bare(first), F.array_join(middle, ""), F.when(n > 1, bare(last)).otherwise(F.lit("")))
     return F.transform(
         F.split(joined, _SEPARATOR, -1),
         lambda f: F.replace(F.replace(f, F.lit(_ESCAPE + "a"), F.lit(_SEPARATOR)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE)),
