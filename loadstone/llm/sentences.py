@@ -400,7 +400,7 @@ def unit_spans(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
         # no blank behind: an end only between a whole word and a capital or a caseless word
         capital = (a == K["UP"]) & ((b == K["LOW"]) | (b == K["MARK"]) | numbers | (b == K["PAREN_CLOSE"])) & (length != 1)
         nxt2 = np.append(kind[2:], [K["SPACE"], K["SPACE"]])[d]
-        capital &= lettered[np.minimum(d + 2, n - 1)] & (nxt2 != K["SPACE"]) | (nxt2 == K["SPACE"])
+        capital &= lettered[np.minimum(d + 2, n - 1)] | (nxt2 == K["SPACE"]) | (nxt2 == K["APOSTROPHE"])
         caseless = ((a == K["LETTER"]) | (a == K["HANGUL"])) & ((b == K["LETTER"]) | (b == K["HANGUL"]) | (b == K["MARK"])) & (length > 1)
         numbered = (a == K["DIGIT"]) & (b == K["LOW"]) & (length > 2)
         result[tight & ~capital & ~caseless & ~numbered] = S["NONE"]
@@ -436,7 +436,7 @@ def unit_spans(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
     follows = np.zeros(n, bool)
     has = previous_solid >= 0
     follows[has] = triggers[previous_solid[has]]
-    thai = (kind == K["THAI"]) & (before == K["SPACE"]) & has & (kind[np.maximum(previous_solid, 0)] == K["THAI"])
+    thai = (kind == K["THAI"]) & (before == K["SPACE"]) & has & (kind[np.maximum(previous_solid, 0)] == K["THAI"]) & (after != K["DOT"])  # not before ก.ค.
     symbol[thai] = S["THAI_START"]
     is_forced = np.zeros(n, bool)
     is_forced[forced] = True
