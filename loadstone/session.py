@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished phases left: shuffle files, broadcast blocks and checkpoints no longer referred to.
+
+    Spark frees them when the driver happens to collect its garbage; operators of many phases do so between these.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_within(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of `df` when its counted `rows` are within `limit`; else leave the choice to AQE."""
     return F.broadcast(df) if rows <= limit else df
