@@ -18,7 +18,6 @@ from itertools import chain
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -202,6 +201,8 @@ class Encoder:
         rows = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(rows, np.int64)
+        import pandas as pd  # on workers only
+
         points, at_byte, row_points = spans.code_points(data, offsets)
         first = pretoken_starts(points, row_points)
         starts = at_byte[first]
