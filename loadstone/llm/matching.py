@@ -1,6 +1,6 @@
 """Matching records of two sources without a common key by walks over a record-attribute-token graph.
 
-Records (spellings of shippers, titles of listed companies) hang on tokens: three-letter pieces of the folded core, line of
+Records (spellings of shippers, titles of listed companies) hang on tokens: four-letter pieces of the folded core, hashed, line of
 business, place, goods; doubtful earlier matches join records directly. Random walks over this graph, weighted by how rare a
 token is, give sentences of tokens; skip-gram vectors are trained on them; a record's vector is the weighted mean of its
 tokens'. The model's size is that of the token inventory, which has a bound, not of the records. Records are blocked by
@@ -10,28 +10,31 @@ calibrated to a confidence over all candidates. An exact check of names and line
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Word2Vec
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadstone.llm import names, variants
-from loadstone.session import materialize
+from loadstone.llm.skipgram import train_vectors
+from loadstone.session import materialize, release
 
 #: Vector size; walks begun at each record and their steps; bits of a signature; tables and bits of each.
 SIZE, WALKS, STEPS = 64, 3, 4
 SIGNATURE, TABLES, BITS = 256, 19, 13
-#: Cities are hashed into so many tokens, which bounds the inventory (with 26**3 pieces, lines, states and goods).
-CITY_TOKENS = 4096
+#: Pieces and cities are hashed into so many tokens, which bounds the inventory beside lines, states and goods.
+PIECE_TOKENS, CITY_TOKENS = 1 << 14, 1 << 11
 #: Signatures that differ in more bits aren't reranked: two standard deviations beyond the least cosine.
 MOST_BITS, LEAST_COSINE = 100, 0.5
 #: What a token counts beside its rarity, by its class: pieces and lines in full, places and goods little.
-CLASS_WEIGHT = {"c:": 0.3, "s:": 0.2, "g:": 0.2}
+CLASS_WEIGHT = {"c:": 0.2, "s:": 0.1, "g:": 0.1}
 
 # Lines of business that the wording of an industry may mean.
 INDUSTRY = {
@@ -46,11 +49,11 @@ INDUSTRY = {
     "steel pipe and tubes": "PIPE", "steel works and rolling mills": "STEEL", "synthetic resins": "PLASTICS", "textile mill products": "TEXTILES",
 }
 
-_VIEW = "keys array<string>, rest string, first string, lines array<string>, exact boolean, place string, views array<array<string>>"
+_VIEW = "keys array<string>, rest string, first string, lines array<string>, exact boolean, initial boolean, place string, views array<array<string>>"
 
 
 def _pieces(core: str) -> list[str]:
-    return sorted({core[i : i + 3] for i in range(len(core) - 2)})
+    return sorted({f"p:{zlib.crc32(core[i : i + 4].encode()) % PIECE_TOKENS}" for i in range(max(1, len(core) - 3))})
 
 
 def _place(text: str | None) -> str:
@@ -81,28 +84,21 @@ def describe(name: str | None, state: str | None, city: str | None, goods: str |
     shared = [f"b:{x}" for x in lines]
     shared += [f"s:{state.strip().upper()}"] if state and state.strip() else []
     place = _place(city)
-    shared += [f"c:{hash_place(place)}"] if place else []
+    shared += [f"c:{zlib.crc32(place.encode()) % CITY_TOKENS}"] if place else []
     shared += [f"g:{goods}"] if goods and goods != "31" else []
     views = []
     if not (title and len(first) == 1):
         views.append(_pieces(p.keys[0]) + shared)
     if rest and (not title or len(first) == 1):
         views.append(_pieces(rest) + shared)
-    return {"keys": p.keys, "rest": rest, "first": first[:1], "lines": lines, "exact": bool(known), "place": place or None, "views": views or [_pieces(p.keys[0]) + shared]}
-
-
-def hash_place(place: str) -> int:
-    h = 0
-    for c in place:
-        h = (h * 131 + ord(c)) % 1_000_003
-    return h % CITY_TOKENS
+    return {"keys": p.keys, "rest": rest, "first": first[:1], "lines": lines, "exact": bool(known), "initial": title and len(first) == 1, "place": place or None, "views": views or [_pieces(p.keys[0]) + shared]}
 
 
 def described(df: DataFrame, title: bool) -> DataFrame:
     """`df` (id, name, state, city, goods, industry, line) with the parts that describe() gives; other rows are left out."""
     parts = T._parse_datatype_string(_VIEW).fields
     schema = T.StructType([*df.schema.fields, *parts])
-    kinds = {"keys": pa.list_(pa.string()), "lines": pa.list_(pa.string()), "views": pa.list_(pa.list_(pa.string())), "exact": pa.bool_()}
+    kinds = {"keys": pa.list_(pa.string()), "lines": pa.list_(pa.string()), "views": pa.list_(pa.list_(pa.string())), "exact": pa.bool_(), "initial": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,29 +144,28 @@ def _own_sentences(records: DataFrame) -> DataFrame:
     return records.select(F.explode("views").alias("path"))
 
 
-def token_vectors(sentences: DataFrame, size: int = SIZE, seed: int = 7) -> DataFrame:
-    """Skip-gram vectors of tokens: word, vector."""
-    parts = max(2, sentences.sparkSession.sparkContext.defaultParallelism)
-    model = Word2Vec(vectorSize=size, windowSize=5, minCount=1, numPartitions=min(parts, 6), maxIter=1, stepSize=0.05, seed=seed, inputCol="path", outputCol="v").fit(sentences)
-    return model.getVectors()
+def shared_vectors(spark: SparkSession, trained: pa.Table, seed: int = 7) -> Broadcast:
+    """The vectors of the tokens (word, df, v) by their weight, without their common direction, and the hyperplanes, for the
+    executors. Their size has a bound, that of the token inventory."""
+    order = pc.sort_indices(trained["word"])
+    words = trained["word"].take(order).to_pylist()
+    df = trained["df"].to_numpy()[order.to_numpy()]
+    table = trained["v"].combine_chunks().flatten().to_numpy().reshape(len(words), -1)[order.to_numpy()]
+    weight = np.log(1 + df.max() / (df + 50)) * np.array([CLASS_WEIGHT.get(w[:2], 1.0) for w in words])
+    planes = np.random.default_rng(seed).standard_normal((table.shape[1], SIGNATURE)).astype(np.float32)
+    weighted = ((table - table.mean(axis=0)) * weight[:, None]).astype(np.float32)
+    return spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, weighted, planes))
 
 
-def signed(records: DataFrame, vectors: dict[str, np.ndarray], weights: dict[str, float], probe: bool, size: int = SIZE, seed: int = 7) -> DataFrame:
+def signed(records: DataFrame, shared: Broadcast, probe: bool) -> DataFrame:
     """One row per record view: id, view, vector (unit length), the signature s0..s3 (64 hyperplanes each) and its buckets.
 
     A bucket is the number of the table and BITS bits of the signature; with `probe` those that differ in one bit too.
     """
-    words = sorted(vectors)
-    place = {w: i for i, w in enumerate(words)}
-    table = np.array([vectors[w] for w in words], np.float32) if words else np.zeros((0, size), np.float32)
-    table = table - table.mean(axis=0) if len(words) else table  # the common direction tells nothing
-    weight = np.array([weights.get(w, 1.0) for w in words], np.float32)
-    planes = np.random.default_rng(seed).standard_normal((size, SIGNATURE)).astype(np.float32)
-    shared = records.sparkSession.sparkContext.broadcast((place, table, weight, planes))  # bounded by the token inventory
     fields = [records.schema["id"], *T._parse_datatype_string("view int, vector array<float>, s0 bigint, s1 bigint, s2 bigint, s3 bigint, buckets array<int>").fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, table, weight, planes = shared.value
+        place, table, planes = shared.value
         for batch in batches:
             ids, owner, view, at, row = batch.column(0), [], [], [], []
             for i, views in enumerate(batch.column(1).to_pylist()):
@@ -182,7 +177,7 @@ def signed(records: DataFrame, vectors: dict[str, np.ndarray], weights: dict[str
                     view.append(j)
             out = np.zeros((len(owner), planes.shape[0]), np.float32)
             if at:
-                np.add.at(out, np.array(row), table[at] * weight[at][:, None])
+                np.add.at(out, np.array(row), table[at])
             norm = np.linalg.norm(out, axis=1, keepdims=True)
             out = out / np.where(norm > 0, norm, 1)
             bits = (out @ planes > 0).astype(np.uint8)
@@ -227,28 +222,17 @@ def isotonic(counts: list[tuple[int, int, int]]) -> dict[int, float]:
     return {b: (true + 0.5) / (n + 1) for n, true, bins in blocks for b in bins}
 
 
-def name_fits(a_keys: list[str], a_rest: str, a_first: str, b_keys: list[str], b_rest: str, b_first: str, b_name: str) -> bool:
-    """Whether a title's core is a shipper's: within two edits in any order of words, or an initial and the rest."""
-    core = b_keys[0]
-    most = 2 if len(core) >= variants.SHORT else 1
-    if any(names.within(k, core, most) for k in a_keys):
-        return True
-    if len((b_name or "").split(" ", 1)[0]) == 1 and b_rest and a_rest and a_first == b_first:
-        return names.within(a_rest, b_rest, 1 if len(b_rest) < variants.SHORT else 2)
-    return False
-
+def name_fits() -> Column:
+    """Whether a title's core (b_...) is a shipper's (a_...): within two edits in any order of words, or by initial and rest."""
 
-def checked(pairs: DataFrame) -> DataFrame:
-    """`pairs` with name_ok, by name_fits()."""
-    schema = T.StructType([*pairs.schema.fields, T.StructField("name_ok", T.BooleanType())])
+    def near(x: Column, y: Column) -> Column:
+        d = F.levenshtein(x, y, variants.DISTANCE)
+        return (d >= 0) & (d <= F.when(F.length(y) < variants.SHORT, variants.DISTANCE - 1).otherwise(variants.DISTANCE))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("a_keys", "a_rest", "a_first", "b_keys", "b_rest", "b_first", "b_name")]
-            ok = [name_fits(*x) for x in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_())], names=schema.names)
-
-    return pairs.mapInArrow(run, schema)
+    core = F.col("b_keys")[0]
+    whole = F.exists("a_keys", lambda k: near(k, core))
+    short = F.col("b_initial") & (F.col("b_rest") != "") & (F.col("a_rest") != "") & (F.col("a_first") == F.col("b_first")) & near(F.col("a_rest"), F.col("b_rest"))
+    return F.coalesce(whole | short, F.lit(False))
 
 
 def match_companies(shippers: DataFrame, tickers: DataFrame, links: DataFrame | None = None, seed: int = 7) -> DataFrame:
@@ -260,13 +244,15 @@ def match_companies(shippers: DataFrame, tickers: DataFrame, links: DataFrame |
     for each other candidate pair above the least cosine, with its calibrated confidence. A cik that isn't a number, null
     and placeholder names and persons give no rows; several tickers of a cik are one company; an empty table gives no rows.
     """
+    spark = shippers.sparkSession
     groups = materialize(variants.spelling_groups(shippers))
+    release(spark)
     lines = groups.filter(F.col("kind") == "org").select(F.col("shipper_id").alias("id"), "group", "line")
     base = shippers.select(F.col("shipper_id").alias("id"), F.col("shipper_norm").alias("name"), F.col("main_state").alias("state"), F.col("main_city").alias("city"), F.col("sctg2").alias("goods"), F.lit(None).cast("string").alias("industry"))
     a = materialize(described(base.join(lines.drop("group"), "id"), title=False))
     number = F.trim("cik").try_cast("bigint")
     titles = tickers.filter(number.isNotNull()).select(
-        F.concat_ws("|", number, "ticker", "title_norm").alias("id"), F.col("title_norm").alias("name"), F.col("hq_state").alias("state"), F.col("hq_city").alias("city"),
+        F.xxhash64(number, "ticker", "title_norm", "hq_state", "hq_city", "sic_text").alias("id"), F.col("title_norm").alias("name"), F.col("hq_state").alias("state"), F.col("hq_city").alias("city"),
         F.lit(None).cast("string").alias("goods"), F.col("sic_text").alias("industry"), F.lit(None).cast("string").alias("line"), number.alias("cik"), "ticker",
     )
     b = materialize(described(titles.distinct(), title=True))
@@ -283,36 +269,37 @@ def match_companies(shippers: DataFrame, tickers: DataFrame, links: DataFrame |
     postings = materialize(postings)
     own = _own_sentences(a).union(_own_sentences(b))
     sentences = materialize(token_walks(postings, seed=seed).union(own))
+    release(spark)
     if sentences.isEmpty():
         empty = "shipper_id bigint, cik bigint, cosine double, confidence double, accepted boolean"
-        return shippers.sparkSession.createDataFrame([], empty)
+        return spark.createDataFrame([], empty)
     # the token inventory has a bound, so its vectors and counts may go to the driver
-    vectors = {r["word"]: r["vector"].toArray().astype(np.float32) for r in token_vectors(sentences, seed=seed).collect()}
-    records = postings.filter("shown").groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()
-    total = max((r["n"] for r in records), default=1)
-    weights = {r["token"]: float(np.log(1 + total / (r["n"] + 20))) * CLASS_WEIGHT.get(r["token"][:2], 1.0) for r in records}
-    index, queries = materialize(signed(a, vectors, weights, False, seed=seed)), materialize(signed(b, vectors, weights, True, seed=seed))
+    counted = postings.filter("shown").groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("df"))
+    trained = materialize(train_vectors(sentences, "path", SIZE, seed).join(counted, "word").select("word", "df", "v"))
+    release(spark)
+    shared = shared_vectors(spark, trained.toArrow())
+    release(spark)
+    index, queries = materialize(signed(a, shared, False)), materialize(signed(b, shared, True))
     pairs = blocked_pairs(index, queries)
 
-    side = lambda df, p: df.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("keys", "rest", "first", "lines", "exact", "name", "state", "place")])
-    full = checked(pairs.join(side(a, "a"), "a").join(side(b, "b"), "b"))
-    full = materialize(full.join(lines.withColumnRenamed("id", "a").drop("line"), "a").withColumn("cik", F.split("b", r"\|")[0].cast("bigint")))
+    side = lambda df, p, more: df.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("keys", "rest", "first", "state", "place")], *more)
+    full = pairs.join(side(a, "a", [F.col("line").alias("a_line")]), "a").join(side(b, "b", [F.col("initial").alias("b_initial"), "cik"]), "b")
+    same_city = F.coalesce(F.levenshtein("a_place", "b_place", 2) >= 0, F.lit(False))
+    same_state = F.coalesce(F.col("a_state") == F.col("b_state"), F.lit(False))
+    full = full.select("a", "b", "cik", "cosine", F.coalesce("a_line", F.lit(None)).alias("line"), name_fits().alias("name_ok"), (same_city.cast("int") * 2 + same_state.cast("int")).alias("place"))
+    full = materialize(full.join(lines.select(F.col("id").alias("a"), "group"), "a"))
+    release(spark)
 
     # what a company does: its titles' own words, else what all its industry wordings have in common
     good = full.filter("name_ok")
-    company = good.select("cik", "b", "b_lines", "b_exact").distinct().groupBy("cik").agg(
-        F.max(F.when(F.col("b_exact"), F.col("b_lines")[0])).alias("own"), F.collect_set(F.when(~F.col("b_exact") & (F.size("b_lines") > 0), F.col("b_lines"))).alias("wordings")
-    )
+    company = b.groupBy("cik").agg(F.max(F.when(F.col("exact"), F.col("lines")[0])).alias("own"), F.collect_set(F.when(~F.col("exact") & (F.size("lines") > 0), F.col("lines"))).alias("wordings"))
     common = F.aggregate("wordings", F.col("wordings")[0], lambda x, y: F.array_intersect(x, y))
     company = company.select("cik", F.when(F.col("own").isNotNull(), F.array("own")).when(F.size("wordings") > 0, F.when(F.size(common) > 0, common).otherwise(F.array_distinct(F.flatten("wordings")))).alias("does"))
-    same_city = F.coalesce(F.levenshtein("a_place", "b_place", 2) >= 0, F.lit(False))
-    facts = good.groupBy("cik", "group").agg(
-        F.max(F.col("a_lines")[0]).alias("line"), F.max(same_city.cast("int")).alias("city_ok"), F.max(F.coalesce(F.col("a_state") == F.col("b_state"), F.lit(False)).cast("int")).alias("state_ok")
-    ).join(company, "cik")
+    facts = good.groupBy("cik", "group").agg(F.max("line").alias("line"), F.max("place").alias("place")).join(company, "cik")
     # several lines under one name and a company that doesn't tell its own: the place decides, if it can
-    per = facts.groupBy("cik").agg(F.count_distinct(F.coalesce("line", F.lit("?"))).alias("n_lines"), F.max(F.col("city_ok") * 2 + F.col("state_ok")).alias("top"))
+    per = facts.groupBy("cik").agg(F.count_distinct(F.coalesce("line", F.lit("?"))).alias("n_lines"), F.max("place").alias("top"))
     facts = facts.join(per, "cik")
-    placed = (F.col("top") > 0) & (F.col("city_ok") * 2 + F.col("state_ok") == F.col("top"))
+    placed = (F.col("top") > 0) & (F.col("place") == F.col("top"))
     ok = F.when(F.col("does").isNotNull() & F.col("line").isNotNull(), F.array_contains("does", F.col("line"))).otherwise((F.col("n_lines") == 1) | placed)
     accepted = facts.filter(ok).select("cik", "group")
 

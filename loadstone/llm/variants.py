@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from loadstone.llm import names
 from loadstone.llm.components import connected_components
-from loadstone.session import materialize
+from loadstone.session import materialize, release
 
 #: Edit distance between folded cores; cores under SHORT characters are allowed one edit less.
 DISTANCE, SHORT = 2, 9
@@ -166,6 +166,7 @@ def spelling_groups(names_df: DataFrame, id: str = "shipper_id", name: str = "sh
     parsed = materialize(parse_names(rows, "name").filter(F.col("kind") != ""))
     families = core_families(parsed, k).withColumnRenamed("kind", "kind_")
     located = materialize(parsed.withColumn("key", F.col("keys")[0]).join(families.withColumnRenamed("key", "key_"), (F.col("kind") == F.col("kind_")) & (F.col("key") == F.col("key_"))).drop("kind_", "key_", "keys"))
+    release(names_df.sparkSession)
 
     orgs = located.filter(F.col("kind") == "org")
     fits = F.col("partial").isNull() | F.col("business_2").startswith(F.col("partial")) | F.when(F.col("partial") == "PROD", F.col("business_2") == "PRODUCE").otherwise(False)

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from loadstone.llm import matching as mt
 from loadstone.llm import names
@@ -113,7 +114,8 @@ def test_blocking_recall(spark):
     base = [sorted(rng.choice(400, 12, replace=False).tolist()) for _ in range(300)]
     other = [[*b[1:], int(rng.integers(400))] for b in base]
     df = lambda sets: spark.createDataFrame([(i, [[words[k] for k in s]]) for i, s in enumerate(sets)], "id bigint, views array<array<string>>")
-    shared = mt.shared_vectors(spark, words, table, np.ones(400))
+    trained = pa.table({"word": words, "df": [1] * 400, "v": pa.array(table.tolist(), pa.list_(pa.float32()))})
+    shared = mt.shared_vectors(spark, trained)
     pairs = mt.blocked_pairs(mt.signed(df(base), shared, False), mt.signed(df(other), shared, True))
     hits = {(r["a"], r["b"]) for r in pairs.collect()}
     assert sum((i, i) in hits for i in range(300)) >= 290
@@ -121,3 +123,22 @@ def test_blocking_recall(spark):
 
 def test_queries_have_sql_or_tests():
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+def test_skipgram_brings_companions_together(spark):
+    from loadstone.llm.skipgram import train_vectors
+
+    rng = random.Random(4)
+    rows = []
+    for _ in range(20000):
+        side = rng.choice("ab")
+        rows.append(([f"{side}{rng.randint(0, 9)}" for _ in range(6)],))
+    rows += [([],), (None,), (["single"],)]
+    df = spark.createDataFrame(rows, "path array<string>")
+    got = {r["word"]: np.array(r["v"]) for r in train_vectors(df, size=16).collect()}
+    assert set(got) == {*[f"{s}{k}" for s in "ab" for k in range(10)], "single"}
+    cos = lambda x, y: float(got[x] @ got[y] / np.linalg.norm(got[x]) / np.linalg.norm(got[y]))
+    near = np.mean([cos(f"a{i}", f"a{j}") for i in range(10) for j in range(i)])
+    far = np.mean([cos(f"a{i}", f"b{j}") for i in range(10) for j in range(10)])
+    assert near > far + 0.3
+    assert train_vectors(df.limit(0), size=4).collect() == []
