@@ -128,14 +128,14 @@ def token_walks(postings: DataFrame, walks: int = WALKS, steps: int = STEPS, see
     state = slotted.select("record").distinct().withColumn("walk", F.explode(F.sequence(F.lit(1), F.lit(walks)))).withColumn("path", F.array().cast("array<string>"))
     ended = []
     for step in range(steps):
-        here = state.join(slotted.select("record", "token", "n", "shown"), "record")
+        here = state.join(slotted.select("record", "token", "n", "shown").hint("merge"), "record")
         draw = -F.log(uniform(F.lit(seed + step), "record", "walk", "token", "path") + 1e-12) * F.col("n")
         chosen = here.groupBy("record", "walk", "path").agg(F.min_by(F.struct("token", "n", "shown"), draw).alias("t"))
         path = F.when(F.col("t.shown"), F.concat("path", F.array("t.token"))).otherwise(F.col("path"))
         look = F.floor(uniform(F.lit(seed + step), "walk", "path", "record") * F.col("t.n"))
         walkers = materialize(chosen.select("walk", path.alias("path"), F.col("t.token").alias("token"), look.alias("slot")))
         ended.append(walkers.select("path"))
-        state = walkers.join(slotted.select("record", "token", "slot"), ["token", "slot"]).select("record", "walk", "path")
+        state = walkers.join(slotted.select("record", "token", "slot").hint("merge"), ["token", "slot"]).select("record", "walk", "path")
     return reduce(DataFrame.union, ended).filter(F.size("path") > 1)
 
 
@@ -201,11 +201,12 @@ def blocked_pairs(index: DataFrame, queries: DataFrame) -> DataFrame:
     left = index.select(F.col("id").alias("a"), F.col("view").alias("av"), *[F.col(f"s{k}").alias(f"a{k}") for k in range(4)], F.explode("buckets").alias("h"))
     right = queries.select(F.col("id").alias("b"), F.col("view").alias("bv"), *[F.col(f"s{k}").alias(f"b{k}") for k in range(4)], F.explode("buckets").alias("h"))
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    met = left.join(right, "h").filter(apart <= MOST_BITS).select("a", "av", "b", "bv").distinct()
+    # tables made by Python steps are guessed far too small and would be broadcast: sort-merge joins are asked for
+    met = left.join(right.hint("merge"), "h").filter(apart <= MOST_BITS).select("a", "av", "b", "bv").distinct()
     va = index.select(F.col("id").alias("a"), F.col("view").alias("av"), F.col("vector").alias("x"))
     vb = queries.select(F.col("id").alias("b"), F.col("view").alias("bv"), F.col("vector").alias("y"))
     cosine = F.aggregate(F.zip_with("x", "y", lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
-    ranked = met.join(va, ["a", "av"]).join(vb, ["b", "bv"]).select("a", "b", cosine.alias("cosine"))
+    ranked = met.join(va.hint("merge"), ["a", "av"]).join(vb.hint("merge"), ["b", "bv"]).select("a", "b", cosine.alias("cosine"))
     return ranked.filter(F.col("cosine") >= LEAST_COSINE).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
@@ -249,7 +250,7 @@ def match_companies(shippers: DataFrame, tickers: DataFrame, links: DataFrame |
     release(spark)
     lines = groups.filter(F.col("kind") == "org").select(F.col("shipper_id").alias("id"), "group", "line")
     base = shippers.select(F.col("shipper_id").alias("id"), F.col("shipper_norm").alias("name"), F.col("main_state").alias("state"), F.col("main_city").alias("city"), F.col("sctg2").alias("goods"), F.lit(None).cast("string").alias("industry"))
-    a = materialize(described(base.join(lines.drop("group"), "id"), title=False))
+    a = materialize(described(base.join(lines.drop("group").hint("merge"), "id"), title=False))
     number = F.trim("cik").try_cast("bigint")
     titles = tickers.filter(number.isNotNull()).select(
         F.xxhash64(number, "ticker", "title_norm", "hq_state", "hq_city", "sic_text").alias("id"), F.col("title_norm").alias("name"), F.col("hq_state").alias("state"), F.col("hq_city").alias("city"),
@@ -283,11 +284,11 @@ def match_companies(shippers: DataFrame, tickers: DataFrame, links: DataFrame |
     pairs = blocked_pairs(index, queries)
 
     side = lambda df, p, more: df.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("keys", "rest", "first", "state", "place")], *more)
-    full = pairs.join(side(a, "a", [F.col("line").alias("a_line")]), "a").join(side(b, "b", [F.col("initial").alias("b_initial"), "cik"]), "b")
+    full = pairs.join(side(a, "a", [F.col("line").alias("a_line")]).hint("merge"), "a").join(side(b, "b", [F.col("initial").alias("b_initial"), "cik"]).hint("merge"), "b")
     same_city = F.coalesce(F.levenshtein("a_place", "b_place", 2) >= 0, F.lit(False))
     same_state = F.coalesce(F.col("a_state") == F.col("b_state"), F.lit(False))
     full = full.select("a", "b", "cik", "cosine", F.coalesce("a_line", F.lit(None)).alias("line"), name_fits().alias("name_ok"), (same_city.cast("int") * 2 + same_state.cast("int")).alias("place"))
-    full = materialize(full.join(lines.select(F.col("id").alias("a"), "group"), "a"))
+    full = materialize(full.join(lines.select(F.col("id").alias("a"), "group").hint("merge"), "a"))
     release(spark)
 
     # what a company does: its titles' own words, else what all its industry wordings have in common
