@@ -134,6 +134,7 @@ def token_walks(postings: DataFrame, walks: int = WALKS, steps: int = STEPS, see
         path = F.when(F.col("t.shown"), F.concat("path", F.array("t.token"))).otherwise(F.col("path"))
         look = F.floor(uniform(F.lit(seed + step), "walk", "path", "record") * F.col("t.n"))
         walkers = materialize(chosen.select("walk", path.alias("path"), F.col("t.token").alias("token"), look.alias("slot")))
+        release(postings.sparkSession)
         ended.append(walkers.select("path"))
         state = walkers.join(slotted.select("record", "token", "slot").hint("merge"), ["token", "slot"]).select("record", "walk", "path")
     return reduce(DataFrame.union, ended).filter(F.size("path") > 1)
@@ -281,6 +282,7 @@ def match_companies(shippers: DataFrame, tickers: DataFrame, links: DataFrame |
     shared = shared_vectors(spark, trained.toArrow())
     release(spark)
     index, queries = materialize(signed(a, shared, False)), materialize(signed(b, shared, True))
+    release(spark)
     pairs = blocked_pairs(index, queries)
 
     side = lambda df, p, more: df.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("keys", "rest", "first", "state", "place")], *more)
