@@ -67,6 +67,48 @@ def subsample(events: DataFrame, month: str, types: tuple[str, ...], limit: int,
     return ranked.select(*key, "stage", "weight").orderBy("stage", *order).limit(limit)
 
 
+def staged_subsample(events: DataFrame, month: str, types: tuple[str, ...], limit: int = 250_000, least: int = 500, last: str = "carrier_risk") -> DataFrame:
+    """A staged sample of `limit` edges, every stage filling what the ones before it leave over: the month's edges, then the
+    listed base types in their order, each up to max(least, left over / types), then any other month's edges, then those of
+    base type `last`; heaviest first, one row per key of six columns, each in its earliest stage.
+
+    Quotas count keys, so repeated rows don't use them up. A listed type's rows beyond its quota can still come in by month.
+    The sizes of the stages are counted over the keys, which are computed once; only a stage that is cut is sorted as a whole.
+    """
+    key = ["edge_type", "src_type", "src_id", "dst_type", "dst_id", "event_time"]
+    order = [F.col("weight").desc_nulls_last(), *[F.col(k).asc_nulls_last() for k in key]]
+    monthly = F.coalesce(F.col("event_grain") == "month", F.lit(False))
+    in_month = monthly & F.coalesce(F.col("event_time") == month, F.lit(False))
+    kind = F.array_position(F.array(*[F.lit(t) for t in types]), base_type()).cast("int")
+    rules = {1: in_month, 2: ~in_month & (F.coalesce(kind, F.lit(0)) > 0), 3: ~in_month & monthly & F.coalesce(F.length("event_time") == 6, F.lit(False)), 4: F.coalesce(base_type() == last, F.lit(False))}
+    tagged = events.select(*key, "weight", *[c.alias(f"b{s}") for s, c in rules.items()]).filter("b1 OR b2 OR b3 OR b4")
+    heaviest = tagged.groupBy(*key).agg(*[F.max(f"b{s}").alias(f"b{s}") for s in rules], *[F.max(F.when(F.col(f"b{s}"), F.col("weight"))).alias(f"w{s}") for s in rules])
+    keys = materialize(heaviest.withColumn("kind", kind))
+
+    def top(rows: DataFrame, stage: int, left: int) -> tuple[DataFrame, int]:
+        rows = rows.select(*key, F.lit(stage).alias("stage"), F.lit(0).alias("kind"), F.col(f"w{stage}").alias("weight"))
+        n = rows.count()
+        return (rows.orderBy(*order).limit(left) if n > left else rows), min(n, left)
+
+    sample, n = top(keys.filter("b1"), 1, limit)
+    if n < limit:
+        listed = keys.filter("b2 AND NOT b1")
+        quota, sizes, left = max(least, (limit - n) // max(1, len(types))), dict(listed.groupBy("kind").count().collect()), limit - n
+        take = []  # by type, at most as many as are listed
+        for k in range(1, len(types) + 1):
+            take.append(min(quota, sizes.get(k, 0), left))
+            left -= take[-1]
+        of_kind = F.element_at(F.array(*[F.lit(t) for t in (*take, 0)]), F.coalesce(F.col("kind"), F.lit(len(types) + 1)))
+        rank = F.row_number().over(W.partitionBy("kind").orderBy(F.col("w2").desc_nulls_last(), *order[1:]))
+        ranked = materialize(listed.withColumn("rn", rank).withColumn("chosen", F.col("rn") <= of_kind).drop("rn").unionByName(keys.filter("NOT b1 AND NOT b2").withColumn("chosen", F.lit(False))))
+        sample = sample.union(ranked.filter("chosen").select(*key, F.lit(2).alias("stage"), "kind", F.col("w2").alias("weight")))
+        for stage, rule in ((3, "b3"), (4, "b4 AND NOT b3")):
+            if left:
+                more, n = top(ranked.filter(f"NOT chosen AND {rule}"), stage, left)
+                sample, left = sample.union(more), left - n
+    return sample.orderBy("stage", "kind", *order).drop("kind")
+
+
 def hash_features(node: F.Column, dim: int = 32) -> F.Column:
     """Initial features of a node: sines of the bytes of its sha-256, by position."""
     digest = F.sha2(node, 256)

@@ -146,6 +146,14 @@ def edge_subsample(spark, d):
     return gr.subsample(_events(spark, d), "202406", types, 2000, 100)
 
 
+#: The reference's listed types, in its order (encoder.py); with its limit of 250,000 and least quota of 500.
+STRATIFIED = ("observed_haul", "hauls_commodity", "operates_in", "origin_pressure", "maritime_license", "rail_metric", "commodity_pressure", "trade_import", "modeled_flow")
+
+
+def edge_subsample_staged(spark, d):
+    return gr.staged_subsample(_events(spark, d), "202406", STRATIFIED)
+
+
 def _message_input(spark, d):
     n = table(spark, d, "nation")
     edges = n.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("a"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("b"))
@@ -468,7 +476,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         haul_edges_monthly, haul_edges_commodity, haul_edges_state, macro_modeled_flow, macro_shipment_share, carrier_risk, licence_edges, edges_union_by_type, pipeline_miles, rail_dwell, rail_summary,
-        pressure_latest, pressure_tail, trade_latest_month, graph_nodes, graph_edge_catalog, graph_type_summary, evidence_subgraph_edges, evidence_subgraph_nodes, edge_subsample,
+        pressure_latest, pressure_tail, trade_latest_month, graph_nodes, graph_edge_catalog, graph_type_summary, evidence_subgraph_edges, evidence_subgraph_nodes, edge_subsample, edge_subsample_staged,
         message_pass_one_hop, message_pass_epochs, hash_features, change_scores_national, change_scores_corridor, change_scores_gap, snapshot_month, snapshot_month_fallback,
         graph_query_top_states, graph_query_top_carriers, origin_join_class, freight_totals, freight_by_mode, freight_corridors, freight_commodities, freight_yoy, moving_commodity,
         commodity_top_corridors, top_commodity_modes, inspection_coverage, cargo_ties, cargo_ties_state, cargo_ties_lane, shipper_carriers, truck_signal, entity_edges, carrier_leads,

@@ -1,6 +1,7 @@
 """Traps of the data model and readers on literal frames."""
 
 import json
+import random
 import zipfile
 
 import pytest
@@ -70,6 +71,45 @@ def test_contained_names(spark):
     assert sorted(map(tuple, ed.contained_names(longs, shorts).collect())) == [("ACME STEEL WORKS", "STEEL WO"), ("ACME STEEL WORKS", "STEEL WORKS"), ("STEEL WO", "STEEL WO")]
 
 
+def staged_by_loop(rows, month, types, limit, least):
+    """The reference's four stages, one after another over distinct keys."""
+    base = lambda r: (r[0] or "").split(".")[0]
+    sample = {}
+
+    def add(rule, quota, stage):
+        best = {}
+        for r in rows:
+            if rule(r) and r[:6] not in sample and (r[:6] not in best or r[6] > best[r[:6]]):
+                best[r[:6]] = r[6]
+        for k in sorted(best, key=lambda k: (-best[k], k))[: min(quota, limit - len(sample))]:
+            sample[k] = (stage, best[k])
+
+    in_month = lambda r: r[7] == "month" and r[5] == month
+    add(in_month, limit, 1)
+    quota = max(least, (limit - len(sample)) // len(types))
+    for t in types:
+        add(lambda r, t=t: base(r) == t and not in_month(r), quota, 2)
+    add(lambda r: r[7] == "month" and len(r[5]) == 6 and r[5] != month, limit, 3)
+    add(lambda r: base(r) == "carrier_risk", limit, 4)
+    return sorted((*k, *v) for k, v in sample.items())
+
+
+def test_staged_subsample_fills_what_is_left(spark):
+    rng = random.Random(5)
+    kinds = ("a", "a.x", "b.y", "b", "c", "carrier_risk.z", "carrier_risk", "d.q")
+    times = (("202406", "month"), ("202405", "month"), ("202401", "month"), ("2024", "year"), ("snapshot", "snapshot"))
+    rows = [(rng.choice(kinds), "s", str(rng.randrange(40)), "t", str(rng.randrange(3)), *rng.choice(times), float(rng.randrange(50))) for _ in range(900)]
+    rows = [(*r[:6], r[7], r[6]) for r in rows]
+    key = "edge_type string, src_type string, src_id string, dst_type string, dst_id string, event_time string"
+    df = spark.createDataFrame(rows, f"{key}, weight double, event_grain string").repartition(3)
+    full = len({r[:6] for r in rows})
+    for limit, least in ((20, 5), (170, 20), (250, 500), (400, 5), (550, 30), (600, 5), (650, 1), (full, 5), (10**6, 5)):
+        got = [tuple(r) for r in gr.staged_subsample(df, "202406", ("b", "a", "c"), limit, least).collect()]
+        assert sorted(got) == staged_by_loop(rows, "202406", ("b", "a", "c"), limit, least), limit
+    stages = {r[6] for r in got}
+    assert stages == {1, 2, 3, 4} and {r[0] for r in got if r[6] == 2} >= {"a.x", "b.y"}
+
+
 def test_message_passing_keeps_isolated_nodes(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "b")], "a string, b string")
     x = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [3.0, 4.0])], "node string, embedding array<double>")
