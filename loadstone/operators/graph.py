@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loadstone.session import materialize
+from loadstone.session import materialize, release
 
 
 def nodes(events: DataFrame) -> DataFrame:
@@ -109,6 +109,13 @@ def staged_subsample(events: DataFrame, month: str, types: tuple[str, ...], limi
     return sample.orderBy("stage", "kind", *order).drop("kind")
 
 
+def typed_edges(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) between typed endpoints as "type:id", and all nodes; a node whose other end is missing has no edge."""
+    found = nodes(events).select(F.concat_ws(":", "node_type", "node_id").alias("node"))
+    ends = events.select(F.concat("src_type", F.lit(":"), "src_id").alias("a"), F.concat("dst_type", F.lit(":"), "dst_id").alias("b"))
+    return ends.filter("a IS NOT NULL AND b IS NOT NULL"), found
+
+
 def hash_features(node: F.Column, dim: int = 32) -> F.Column:
     """Initial features of a node: sines of the bytes of its sha-256, by position."""
     digest = F.sha2(node, 256)
@@ -124,11 +131,12 @@ def message_pass(edges: DataFrame, features: DataFrame, hops: int = 1, dim: int
     all edges is no hot task. Lineage is cut each hop in the shared checkpoint folder.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).union(features.select("node", "node"))
-    both = materialize(both.toDF("node", "other"))
+    # repeated edges meet the same embedding: they are one row with their number
+    both = materialize(both.toDF("node", "other").groupBy("node", "other").agg(F.count(F.lit(1)).alias("times")))
     state = features
     for _ in range(hops):
         met = both.join(state.withColumnRenamed("node", "other"), "other")
-        sums = met.groupBy("node").agg(F.count(F.lit(1)).alias("deg"), *[F.sum(F.col("embedding")[i]).alias(f"s{i}") for i in range(dim)])
+        sums = met.groupBy("node").agg(F.sum("times").alias("deg"), *[F.sum(F.col("embedding")[i] * F.col("times")).alias(f"s{i}") for i in range(dim)])
         mean = [F.greatest(F.col(f"s{i}") / F.col("deg"), F.lit(0.0)) for i in range(dim)]
         state = sums.select("node", F.array(*mean).alias("embedding"))
         if normalize:
@@ -136,6 +144,8 @@ def message_pass(edges: DataFrame, features: DataFrame, hops: int = 1, dim: int
             state = state.withColumn("norm", norm).select("node", F.when(F.col("norm") > 0, F.transform("embedding", lambda x: x / F.col("norm"))).otherwise(F.col("embedding")).alias("embedding"))
         if hops > 1:
             state = materialize(state)
+            del met, sums
+            release(state.sparkSession)  # the hop's files
     return state
 
 

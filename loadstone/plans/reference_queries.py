@@ -168,14 +168,21 @@ def message_pass_one_hop(spark, d):
     return out.select("node", *[F.col("embedding")[i].alias(f"x{i}") for i in range(3)])
 
 
+def message_pass_hop(spark, d):
+    """One normalised hop over all typed endpoints."""
+    edges, nodes = gr.typed_edges(_events(spark, d))
+    return gr.message_pass(edges, nodes.select("node", gr.hash_features(F.col("node")).alias("embedding")), 1)
+
+
 def message_pass_epochs(spark, d):
-    edges = _events(spark, d).filter((gr.base_type() == "operates_in") & F.col("src_id").isNotNull() & F.col("dst_id").isNotNull()).select(F.concat(F.lit("c:"), "src_id").alias("a"), F.concat(F.lit("s:"), "dst_id").alias("b"))
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    return gr.message_pass(edges, nodes.select("node", gr.hash_features(F.col("node")).alias("embedding")), 3)
+    """The reference's embeddings: all typed endpoints, 32 positions, 20 epochs."""
+    edges, nodes = gr.typed_edges(_events(spark, d))
+    return gr.message_pass(edges, nodes.select("node", gr.hash_features(F.col("node")).alias("embedding")), 20)
 
 
 def hash_features(spark, d):
-    return table(spark, d, "nation").select("n_name", gr.hash_features(F.col("n_name")).alias("features"))
+    _, nodes = gr.typed_edges(_events(spark, d))
+    return nodes.select("node", gr.hash_features(F.col("node")).alias("features"))
 
 
 # --- change over time ----------------------------------------------------------------------------------------------------
@@ -477,7 +484,7 @@ QUERIES = {
     for f in (
         haul_edges_monthly, haul_edges_commodity, haul_edges_state, macro_modeled_flow, macro_shipment_share, carrier_risk, licence_edges, edges_union_by_type, pipeline_miles, rail_dwell, rail_summary,
         pressure_latest, pressure_tail, trade_latest_month, graph_nodes, graph_edge_catalog, graph_type_summary, evidence_subgraph_edges, evidence_subgraph_nodes, edge_subsample, edge_subsample_staged,
-        message_pass_one_hop, message_pass_epochs, hash_features, change_scores_national, change_scores_corridor, change_scores_gap, snapshot_month, snapshot_month_fallback,
+        message_pass_one_hop, message_pass_hop, message_pass_epochs, hash_features, change_scores_national, change_scores_corridor, change_scores_gap, snapshot_month, snapshot_month_fallback,
         graph_query_top_states, graph_query_top_carriers, origin_join_class, freight_totals, freight_by_mode, freight_corridors, freight_commodities, freight_yoy, moving_commodity,
         commodity_top_corridors, top_commodity_modes, inspection_coverage, cargo_ties, cargo_ties_state, cargo_ties_lane, shipper_carriers, truck_signal, entity_edges, carrier_leads,
         identity_exact, identity_substring, identity_exists, price_endpoints, return_band, market_best_per_group, name_norm_all, name_norm_first, name_norm_core, slug_names, code_pad_hs,

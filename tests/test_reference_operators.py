@@ -1,6 +1,8 @@
 """Traps of the data model and readers on literal frames."""
 
+import hashlib
 import json
+import math
 import random
 import zipfile
 
@@ -12,6 +14,7 @@ from loadstone.operators import edges as ed
 from loadstone.operators import graph as gr
 from loadstone.operators import quality as ql
 from loadstone.operators import temporal as tm
+from loadstone.plans import reference_queries as rq
 from loadstone.schema import EDGE_COLUMNS, EDGE_TYPES, empty_events
 from loadstone.sources import readers as rd
 from loadstone.sources import sinks
@@ -117,6 +120,40 @@ def test_message_passing_keeps_isolated_nodes(spark):
     assert got["c"] == [0.6, 0.8] and got["a"] == pytest.approx([1 / 5**0.5, 2 / 5**0.5])
 
 
+def embeddings_by_loop(rows, epochs, dim=32):
+    """The reference's embeddings over all pairs: mean of neighbours and self, rectified, unit length."""
+    ends = [tuple(f"{t}:{i}" if t and i else None for t, i in (r[:2], r[2:])) for r in rows]
+    met = {n: [n] for e in ends for n in e if n}
+    for a, b in ends:
+        if a and b:
+            met[a].append(b)
+            met[b].append(a)
+    digest = {n: hashlib.sha256(n.encode()).digest() for n in met}
+    x = {n: [math.sin((h[i % 32] + 1) * (i + 1) * 0.13) for i in range(dim)] for n, h in digest.items()}
+    start = x
+    for _ in range(epochs):
+        mean = {n: [max(sum(x[m][i] for m in ms) / len(ms), 0.0) for i in range(dim)] for n, ms in met.items()}
+        x = {n: [v / (math.sqrt(sum(w * w for w in m)) or 1.0) for v in m] for n, m in mean.items()}
+    return start, x
+
+
+def test_embeddings_cover_all_typed_endpoints(spark, tmp_path):
+    rng = random.Random(7)
+    types = ("shipper", "carrier", "commodity", "ticker")
+    rows = [(rng.choice(types), str(rng.randrange(9)), rng.choice(types), str(rng.randrange(9))) for _ in range(120)]
+    rows += [("carrier", "hub", "state", str(k % 7)) for k in range(60)] + [("corridor", "alone", None, None), (None, None, "lei", "far"), ("port", "p", "port", "p"), ("ticker", None, "state", "1")]
+    columns = "src_type string, src_id string, dst_type string, dst_id string"
+    kinds = ("operates_in.x", "modeled_flow", "identity_match", None)
+    df = spark.createDataFrame([(*r, kinds[k % 4]) for k, r in enumerate(rows)], f"{columns}, edge_type string")
+    df.write.parquet(str(tmp_path / "all_events.parquet"))
+    for name, epochs in (("hash_features", 0), ("message_pass_hop", 1), ("message_pass_epochs", 20)):
+        start, want = embeddings_by_loop(rows, epochs)
+        got = {r[0]: r[1] for r in rq.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert set(got) == set(want) and {"corridor:alone", "lei:far", "port:p"} <= set(got)
+        for n, v in (want if epochs else start).items():
+            assert got[n] == pytest.approx(v, abs=1e-9), (name, n)
+
+
 def test_stubs_and_merge(spark):
     df = spark.createDataFrame([("<html><body>Missing Key",), ("x" * 600,), (" ",), (None,), ("tiny",)], "t string")
     assert [r[0] for r in df.select(ql.stub_reason(F.col("t"))).collect()] == ["html_stub", None, "blank", "missing", "below_stub"]
