@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
+from math import gcd
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +16,10 @@ from loadstone.llm import bpe
 CAPACITY = 2048
 #: Items that are packed together; more items make more groups. The loss is below one container a group.
 GROUP_ITEMS = 50_000
-#: Fillings looked at for one container before the best so far is taken.
+#: Fillings looked at for one container before the search goes on with those so far.
 FILLINGS = 400
+#: Fillings looked at for one group before the best packing so far is taken.
+BUDGET = 1_000_000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -41,84 +47,219 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def complete(space: int, sizes: list[int], counts: list[int], from_index: int, limit: int = FILLINGS) -> list[int]:
-    """The sizes (by index) that fill `space` best, from the remaining multiset; sizes descend.
+@dataclass
+class Search:
+    """What bin_completion found: containers, the lower bound, best fit's number, fillings looked at; proven: none is fewer."""
+
+    bins: list[list[int]]
+    bound: int
+    best_fit: int
+    looked_at: int
+    proven: bool
+
+
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """Containers needed at least (Martello and Toth's L2): items over half a container, and what doesn't fit beside them."""
+    best = -(-sum(sizes) // capacity)
+    ordered = np.sort(np.asarray(sizes, np.int64))
+    sums = np.concatenate([[0], np.cumsum(ordered)])
+    at = lambda x: int(np.searchsorted(ordered, x, "right"))  # noqa: E731  items of size x or less
+    half = at(capacity // 2)
+    for k in sorted({0, *ordered[:half].tolist()}):
+        # k to half a container: small; over half, up to capacity - k: large with room; over that: alone
+        low, room = at(k - 1), at(capacity - k)
+        large, alone = room - half, len(ordered) - room
+        small = int(sums[half] - sums[low])
+        free = large * capacity - int(sums[room] - sums[half])
+        best = max(best, large + alone + max(0, -(-(small - free) // capacity)))
+    return best
 
-    Depth first over fillings in descending order of size. A filling is dominated, and not looked at, if an item that is
-    left fits beside it or in the place of a smaller one: both are avoided by always going on with the largest fitting
-    size. A branch is cut when even all that is left can't beat the incumbent; no waste ends the search.
+
+def dominated(filling: list[int], waste: int, left: int) -> bool:
+    """Whether a left-over size (bit set `left`) can take the place of items of the filling, or of none, that fit into it.
+
+    The items taken out fit where the left-over item was, so another packing is as good: only the filling with the item
+    need be looked at. One item for an equal one is no change and doesn't count.
+    """
+    one, more = 1, 0  # sums of at most one item, of more
+    single = 0
+    for s in filling:
+        more |= (more | single) << s
+        single |= 1 << s
+    one |= single
+    if more & left:
+        return True
+    reach, span = (one | more) << 1, 1
+    if not waste:
+        return False
+    while span < waste:
+        step = min(span, waste - span)
+        reach |= reach << step
+        span += step
+    return bool(reach & left)
+
+
+def fillings(space: int, sizes: list[int], counts: list[int], from_index: int, most_waste: int, limit: int) -> tuple[list[tuple[int, list[int]]], int, bool]:
+    """The fillings (waste, sizes by index) of `space` that aren't dominated and waste at most `most_waste`, least waste
+    first; the nodes looked at; and whether all were (`limit` wasn't reached).
     """
-    best_waste, best = space, []
     n = len(sizes)
-    nodes = 0
+    left = 0
+    for i in range(from_index, n):
+        if counts[i]:
+            left |= 1 << sizes[i]
+    smallest = (left & -left).bit_length() - 1 if left else space + 1
+    amount = sum(sizes[i] * counts[i] for i in range(from_index, n))
+    out: list[tuple[int, list[int]]] = []
+    nodes, whole = 0, True
     path: list[int] = []
-
-    def search(i: int, left: int) -> bool:
-        nonlocal best_waste, best, nodes
-        if left < best_waste:
-            best_waste, best = left, path.copy()
-            if not left:
-                return True
-        while i < n and nodes < limit:
-            if sizes[i] <= left and counts[i]:
-                nodes += 1
-                counts[i] -= 1
-                path.append(i)
-                done = search(i, left - sizes[i])
-                path.pop()
-                counts[i] += 1
-                if done:
-                    return True
-                # without this size: what follows is smaller; it can win only by filling more than this branch did
-                if best_waste == 0:
-                    return True
+    stack = [(from_index, space, amount)]  # next size, space and what can still come
+    while stack:
+        i, room, rest = stack.pop()
+        while i < n and (sizes[i] > room or not counts[i]):
+            rest -= sizes[i] * counts[i]
             i += 1
-        return False
+        if i < n and room >= smallest and room - rest <= most_waste:
+            if nodes >= limit:
+                whole = False
+                break
+            nodes += 1
+            # without this size later; with one of it now
+            stack.append((i + 1, room, rest - sizes[i] * counts[i]))
+            stack.append((-1, i, 0))
+            counts[i] -= 1
+            path.append(i)
+            stack.append((i, room - sizes[i], rest - sizes[i]))
+            continue
+        if i >= n or room < smallest:
+            if room <= most_waste:
+                unused = left
+                for k in set(path):
+                    if not counts[k]:
+                        unused &= ~(1 << sizes[k])
+                if not dominated([sizes[k] for k in path], room, unused):
+                    out.append((room, path.copy()))
+        while stack and stack[-1][0] == -1:
+            counts[stack.pop()[1]] += 1
+            path.pop()
+    while path:
+        counts[path.pop()] += 1
+    out.sort(key=lambda f: f[0])
+    return out, nodes, whole
 
-    i = from_index
-    while i < n and (sizes[i] > space or not counts[i]):
-        i += 1
-    search(i, space)
-    return best
 
+def bin_completion(sizes: list[int], capacity: int = CAPACITY, limit: int = FILLINGS, budget: int = BUDGET) -> list[list[int]]:
+    """Indexes of the items of each container, as few containers as found: see search()."""
+    return search(sizes, capacity, limit, budget).bins
 
-def bin_completion(sizes: list[int], capacity: int = CAPACITY, limit: int = FILLINGS) -> list[list[int]]:
-    """Indexes of the items of each container, as few containers as found. `sizes`: 1 to capacity, largest first.
 
-    The incumbent is best-fit decreasing. Where it reaches the lower bound (all sizes over the capacity, rounded up) it
-    is optimal and taken. Else containers are completed around the largest remaining item by the branch and bound of
-    complete(); the search ends when the waste so far rules out an improvement on the incumbent.
+def search(sizes: list[int], capacity: int = CAPACITY, limit: int = FILLINGS, budget: int = BUDGET) -> Search:
+    """Branch and bound over containers. `sizes`: 1 to capacity, largest first.
+
+    The incumbent is best-fit decreasing; at the lower bound it is taken. Else containers are completed around the largest
+    remaining item by each filling that isn't dominated, the least wasteful first, as often as the items allow or less
+    often; first a part of all counts is packed and repeated. A branch is cut when its waste rules out an improvement on the incumbent. Branches are taken by their number of
+    departures from the first choice (none, one, two, ...), so early containers are revisited as soon as late ones. The
+    search ends at the lower bound, when all branches were seen, or after `budget` fillings looked at (`limit` for one
+    container); only the last leaves the result unproven.
     """
     incumbent = best_fit(sizes, capacity)
-    total = sum(sizes)
-    bound = -(-total // capacity)
-    if len(incumbent) <= bound:
-        return incumbent
+    total, bound = sum(sizes), lower_bound(sizes, capacity)
+    found = Search(incumbent, bound, len(incumbent), 0, len(incumbent) <= bound)
+    if found.proven:
+        return found
     distinct = sorted(set(sizes), reverse=True)
     place = {s: i for i, s in enumerate(distinct)}
-    members: list[list[int]] = [[] for _ in distinct]
-    for k, s in enumerate(sizes):
-        members[place[s]].append(k)
-    for m in members:
-        m.reverse()
-    counts = [len(m) for m in members]
-    bins: list[list[int]] = []
-    most_waste = (len(incumbent) - 1) * capacity - total  # what an improvement may leave unused
-    waste, at = 0, 0
-    while True:
-        while at < len(distinct) and not counts[at]:
-            at += 1
-        if at == len(distinct):
-            return bins if len(bins) < len(incumbent) else incumbent
+    counts = [0] * len(distinct)
+    for s in sizes:
+        counts[place[s]] += 1
+    best: list[tuple[list[int], int]] | None = None
+    fewest, all_seen = len(incumbent), True
+    # sizes that come again and again: a packing of a part of all counts, repeated, and the rest by best fit
+    for q in sorted({gcd(*counts), min(counts), int(np.median(counts))} - {1}, reverse=True):
+        part = search([s for s, c in zip(distinct, counts) for _ in range(c // q)], capacity, limit, budget // 8)
+        rest = [s for s, c in zip(distinct, counts) for _ in range(c % q)]
+        rest_bins = best_fit(rest, capacity)
+        found.looked_at += part.looked_at
+        if len(part.bins) * q + len(rest_bins) < fewest:
+            fewest = len(part.bins) * q + len(rest_bins)
+            of_part = [s for s, c in zip(distinct, counts) for _ in range(c // q)]
+            best = [([place[of_part[k]] for k in b], q) for b in part.bins] + [([place[rest[k]] for k in b], 1) for b in rest_bins]
+
+    def branches(at: int, waste: int):
+        """(filling, times), all fillings as often as possible first."""
+        nonlocal all_seen
         counts[at] -= 1
-        chosen = complete(capacity - distinct[at], distinct, counts, at, limit)
-        for i in chosen:
-            counts[i] -= 1
-        bins.append([members[i].pop() for i in (at, *chosen)])
-        left = capacity - sum(sizes[k] for k in bins[-1])
-        waste += left
-        if waste > most_waste + capacity - 1 or len(bins) >= len(incumbent):
-            return incumbent
+        most = (fewest - 1) * capacity - total - waste
+        options, nodes, whole = fillings(capacity - distinct[at], distinct, counts, at, most, min(limit, max(1, budget - found.looked_at)))
+        counts[at] += 1
+        found.looked_at += nodes + 1
+        all_seen &= whole
+        runs = []
+        for loss, filling in options:
+            uses = Counter([at, *filling])
+            runs.append((loss, [at, *filling], min(counts[i] // k for i, k in uses.items())))
+        for loss, filling, times in runs:
+            yield loss, filling, times
+        for loss, filling, times in runs:
+            for fewer in range(times - 1, 0, -1):
+                yield loss, filling, fewer
+
+    departures = 0
+    while fewest > bound and found.looked_at < budget:
+        skipped = False
+        # frames: branches, the one in use, containers and waste before, departures left, the first size that may remain
+        stack: list[list] = []
+        used, waste, spare, at = 0, 0, departures, 0
+        descend = True
+        while descend or stack:
+            if descend:
+                while at < len(distinct) and not counts[at]:
+                    at += 1
+                if at == len(distinct):
+                    if used < fewest:
+                        fewest, best = used, [f[1] for f in stack]
+                    if fewest <= bound:
+                        break
+                else:
+                    stack.append([branches(at, waste), None, used, waste, spare, at, 0])
+            descend = False
+            if found.looked_at >= budget or not stack:
+                break
+            frame = stack[-1]
+            if frame[1]:
+                for i in frame[1][0]:
+                    counts[i] += frame[1][1]
+                frame[1] = None
+            choice = next(frame[0], None)
+            if choice is None or (frame[6] and not frame[4]):
+                skipped |= choice is not None
+                stack.pop()
+                continue
+            loss, filling, times = choice
+            spare = frame[4] - (frame[6] > 0)
+            frame[6] += 1
+            found.looked_at += 1
+            if frame[3] + loss * times > (fewest - 1) * capacity - total:
+                continue
+            for i in filling:
+                counts[i] -= times
+            frame[1] = (filling, times)
+            used, waste, at, descend = frame[2] + times, frame[3] + loss * times, frame[5], True
+        for frame in stack:
+            if frame[1]:
+                for i in frame[1][0]:
+                    counts[i] += frame[1][1]
+        if fewest <= bound or found.looked_at >= budget or not skipped:
+            break
+        departures += 1
+    found.proven = fewest <= bound or (found.looked_at < budget and all_seen)
+    if best is not None:
+        members: list[list[int]] = [[] for _ in distinct]
+        for k in range(len(sizes) - 1, -1, -1):
+            members[place[sizes[k]]].append(k)
+        found.bins = [[members[i].pop() for i in filling] for filling, times in best for _ in range(times)]
+    return found
 
 
 def pack(sized: DataFrame, items: int, item: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
@@ -159,11 +300,35 @@ def pack(sized: DataFrame, items: int, item: str = "doc_id", size: str = "n_toke
     return packed.withColumnRenamed("item", item)
 
 
+def report(sized: DataFrame, items: int, size: str = "n_tokens", capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
+    """How pack() searched: per group the containers of what isn't cut to full pieces, the lower bound, best fit's number,
+    the fillings looked at, and whether no packing has fewer (else the search budget ran out).
+    """
+    groups = max(1, -(-items // group_items))
+    n = F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("bigint"), F.lit(0)) % capacity
+    rows = sized.select(n.alias("n"), F.pmod(F.col("spread"), F.lit(groups)).cast("int").alias("g"))
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = np.sort(table["n"].to_numpy())[::-1]
+        r = search(sizes[sizes > 0].tolist(), capacity)
+        return pa.table({"g": [table["g"][0].as_py()], "containers": [len(r.bins)], "bound": [r.bound], "best_fit": [r.best_fit], "looked_at": [r.looked_at], "proven": [r.proven]})
+
+    return rows.groupBy("g").applyInArrow(run, "g bigint, containers bigint, bound bigint, best_fit bigint, looked_at bigint, proven boolean")
+
+
+def _sized(documents: DataFrame, vocabulary: bpe.Vocabulary | None) -> DataFrame:
+    slim = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("spread"))
+    return bpe.count_tokens(slim, "text", "n_tokens", vocabulary)
+
+
+def report_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: bpe.Vocabulary | None = None) -> DataFrame:
+    return report(_sized(documents, vocabulary), documents.select().count(), capacity=capacity)
+
+
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: bpe.Vocabulary | None = None) -> DataFrame:
     """Documents (doc_id, text) in containers of `capacity` tokens: bin_id, doc_id, piece, start, n_tokens.
 
     The sizes are counted where the texts are read; only (doc_id, size, hash) is shuffled. Null, empty and blank texts and
     an empty table: see pack().
     """
-    slim = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("spread"))
-    return pack(bpe.count_tokens(slim, "text", "n_tokens", vocabulary), documents.select().count(), capacity=capacity)
+    return pack(_sized(documents, vocabulary), documents.select().count(), capacity=capacity)

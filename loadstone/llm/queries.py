@@ -37,9 +37,13 @@ def p7_bins(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(_table(spark, d, "documents"))
 
 
+def p7_search(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report_documents(_table(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(_table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_matches, p6_ids, p7_bins, p8_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_matches, p6_ids, p7_bins, p7_search, p8_found)}
 ORACLE: dict[str, str] = {}

@@ -115,6 +115,28 @@ def test_bin_completion_small_cases():
     assert len(packing.bin_completion([5, 4, 3, 3, 3, 2], 10)) == 2
 
 
+def test_search_revisits_containers():
+    sizes = [953, 951, 869, 867, 862, 861, 841, 782, 763, 752, 660, 640, 598, 544, 385]
+    # six containers hold one of each; best fit, and one greedy pass over it, take 18,500
+    many = packing.search(sorted(sizes * 3000, reverse=True), budget=20_000)
+    assert many.best_fit == 18_500 and len(many.bins) <= 18_000 and sorted(itertools.chain(*many.bins)) == list(range(45_000))
+    rng = random.Random(11)
+    for _ in range(120):
+        capacity = rng.choice([20, 37, 100])
+        sizes = sorted((rng.randint(capacity // 6, capacity * 2 // 3) for _ in range(rng.randint(4, 10))), reverse=True)
+        r = packing.search(sizes, capacity)
+        best = fewest(sizes, capacity)
+        assert r.bound <= best and len(r.bins) == best and r.proven
+        assert sorted(itertools.chain(*r.bins)) == list(range(len(sizes))) and all(sum(sizes[k] for k in b) <= capacity for b in r.bins)
+    assert packing.search([7, 7, 6, 6, 5, 5, 4, 4, 3, 3], 10, budget=0).looked_at == 0
+
+
+def test_dominated_fillings():
+    bits = lambda *xs: sum(1 << x for x in xs)
+    assert packing.dominated([4], 3, bits(5)) and packing.dominated([4], 3, bits(2)) and packing.dominated([3, 2], 0, bits(5))
+    assert not packing.dominated([4], 3, bits(4, 8)) and not packing.dominated([4], 0, bits(3, 5)) and not packing.dominated([], 2, bits(3))
+
+
 def test_pack(spark):
     rows = [(1, 5000), (2, 0), (3, None), (4, 2048), (None, 100), (None, 100), (5, 1948), (6, -3), (7, 2049)]
     df = spark.createDataFrame([(i, n, k) for k, (i, n) in enumerate(rows)], "doc_id bigint, n_tokens bigint, spread bigint")
