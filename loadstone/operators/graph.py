@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loadstone.session import materialize, release
+from loadstone.session import discard, materialize
+
+#: Neighbours of a node that are joined in one piece; a hub's edges are spread over as many pieces as it has of these.
+HUB_PIECE = 50_000
 
 
 def nodes(events: DataFrame) -> DataFrame:
@@ -127,25 +128,35 @@ def message_pass(edges: DataFrame, features: DataFrame, hops: int = 1, dim: int
     """Mean over neighbours and itself, rectified, scaled to unit length: node, embedding; `hops` times.
 
     `edges`: a, b (undirected, repeated edges count); `features`: node, embedding. One join and one aggregation by node a
-    hop: the means of all positions are aggregated side by side, partially before the shuffle, so a hub with a third of
-    all edges is no hot task. Lineage is cut each hop in the shared checkpoint folder.
+    hop: the means of all positions are aggregated side by side, partially before the shuffle, and a hub's edges are joined
+    in pieces of HUB_PIECE to copies of its one row, so a hub with a third of all edges is no hot task. Each hop is written
+    to the shared checkpoint folder and the one before it removed.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).union(features.select("node", "node"))
     # repeated edges meet the same embedding: they are one row with their number
-    both = materialize(both.toDF("node", "other").groupBy("node", "other").agg(F.count(F.lit(1)).alias("times")))
-    state = features
+    both = both.toDF("node", "other").groupBy("node", "other").agg(F.count(F.lit(1)).alias("times"))
+    state, made = features, []
+    if hops > 1:
+        both = materialize(both)
+    hubs = both.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / HUB_PIECE).cast("int").alias("pieces")).filter("pieces > 1")
+    if hops > 1:
+        hubs = materialize(hubs)
+        made = [both, hubs]
+    spread = both.join(hubs, "other", "left").withColumn("piece", F.pmod(F.xxhash64("node"), F.coalesce("pieces", F.lit(1)))).drop("pieces")
     for _ in range(hops):
-        met = both.join(state.withColumnRenamed("node", "other"), "other")
+        copies = state.withColumnRenamed("node", "other").join(hubs, "other", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).cast("bigint")).drop("pieces")
+        met = spread.join(copies, ["other", "piece"])
         sums = met.groupBy("node").agg(F.sum("times").alias("deg"), *[F.sum(F.col("embedding")[i] * F.col("times")).alias(f"s{i}") for i in range(dim)])
         mean = [F.greatest(F.col(f"s{i}") / F.col("deg"), F.lit(0.0)) for i in range(dim)]
-        state = sums.select("node", F.array(*mean).alias("embedding"))
+        last, state = state, sums.select("node", F.array(*mean).alias("embedding"))
         if normalize:
             norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
             state = state.withColumn("norm", norm).select("node", F.when(F.col("norm") > 0, F.transform("embedding", lambda x: x / F.col("norm"))).otherwise(F.col("embedding")).alias("embedding"))
         if hops > 1:
             state = materialize(state)
-            del met, sums
-            release(state.sparkSession)  # the hop's files
+            if last is not features:
+                discard(last)
+    discard(*made)
     return state
 
 
@@ -153,7 +164,3 @@ def plane_projection(lon: F.Column, lat: F.Column, width: float, height: float)
     """Equirectangular pixels of a longitude and latitude."""
     return (lon + 180.0) / 360.0 * width, (90.0 - lat) / 180.0 * height
 
-
-def unit_length(vector: list[float]) -> list[float]:
-    norm = math.sqrt(sum(x * x for x in vector)) or 1.0
-    return [x / norm for x in vector]

@@ -1,15 +1,19 @@
-"""Session helpers: table access, materialisation in shared storage and size-checked broadcasts."""
+"""Session helpers: table access, tables written in shared storage, and broadcasts of a checked size."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast by hint only below this many rows, counted or known from a bound.
+#: A side is broadcast by hint only up to this many rows, counted or known from a bound.
 BROADCAST_ROWS = 200_000
+#: Spark removes the shuffle files of a finished query at once under this setting, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,35 +22,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; only where the cluster names none, a local one is set (tests)."""
+    """The shared checkpoint folder: the context's, or the one named in spark.checkpoint.dir.
+
+    Where neither is set a local folder does for a local master, as in tests; on a cluster that raises RuntimeError, as
+    executors can't share a driver's local folder.
+    """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or tempfile.mkdtemp(prefix="loadstone-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="loadstone-")
     context.setCheckpointDir(folder)
-    return folder
+    return context._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute `df` once into the shared checkpoint folder and cut its lineage.
-
-    The files survive the loss of executors, unlike cached blocks.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def _files_let_go(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of what finished phases left: shuffle files, broadcast blocks and checkpoints no longer referred to.
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute `df` once into a table below the shared checkpoint folder and read it from there, without its lineage.
 
-    Spark frees them when the driver happens to collect its garbage; operators of many phases do so between these.
+    The files survive the loss of executors; the shuffle files of the computation are removed at its end. discard() removes
+    the table.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def broadcast_within(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of `df` when its counted `rows` are within `limit`; else leave the choice to AQE."""
-    return F.broadcast(df) if rows <= limit else df
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    with _files_let_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loadstone_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what materialize() wrote, once nothing will be computed from it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._loadstone_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration() if hasattr(spark, "_jsc") else spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast_within(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast of `df` if it has at most `limit` rows, counted up to there; else leave the choice to AQE."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
