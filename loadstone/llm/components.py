@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadstone.session import materialize
+from loadstone.session import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     Large-star and small-star steps alternate until nothing changes, a number of rounds logarithmic in a component's
     size. Each step is an aggregation of a node's least neighbour, which combines before the shuffle, and a join; the
-    edge list is written to the shared checkpoint folder each round. Self loops and nulls are left out; no edges give no
+    edge list is written to the shared checkpoint folder each round and the one before it removed. Self loops and nulls are left out; no edges give no
     rows.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u") != F.col("v"))
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        e = materialize(small.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        last, e = e, materialize(small.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        discard(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -9,14 +9,19 @@ from functools import lru_cache
 
 # --- fixed values: word lists -----------------------------------------------------------------------------------------
 
-#: Lines of business: canonical word, then other spellings.
+#: Lines of business of freight shippers: canonical word, then other spellings. Lines that aren't listed are learned from
+#: the names themselves (lexicon.py).
 BUSINESS = {
-    "COAL": "COAL COKE COALS", "PIPE": "PIPE TUBE PIPES TUBES TUBING", "FEED": "FEED FEEDS FD MILLS MLS MILL", "SCRAP": "SCRAP METAL METALS MTL SCRP", "PAPER": "PAPER PAPERS PPR",
-    "PLASTICS": "PLASTICS PLASTIC PLAS PLAST PLSTC", "MILLING": "MILLING MLG MILLNG", "CHEMICAL": "CHEMICAL CHEMICALS CHEM CHEML", "GLASS": "GLASS GLS GLAS",
-    "AGGREGATES": "AGGREGATES AGGREGATE AGG AGGR", "GRAIN": "GRAIN GRAINS GRN", "PROPANE": "PROPANE PROP GAS", "MEATS": "MEATS MEAT PKG PACKING", "DAIRY": "DAIRY DAIRIES DRY",
-    "RECYCLING": "RECYCLING RECYC RECYCLERS RECYCLER", "REFINING": "REFINING REFIN REFNG REF REFINERY", "PETROLEUM": "PETROLEUM PETRO PETROL PET", "STEEL": "STEEL STEELS STL",
-    "PRODUCE": "PRODUCE", "BEVERAGE": "BEVERAGE BEVERAGES BEV", "LUMBER": "LUMBER LUMBR LBR", "TEXTILES": "TEXTILES TEXTILE TEX", "FERTILIZER": "FERTILIZER FERTILIZERS FERT",
-    "CEMENT": "CEMENT CEM CMT CEMENTS",
+    "AGGREGATES": "AGGREGATES AGGREGATE AGG AGGR", "AUTOMOTIVE": "AUTOMOTIVE AUTO AUTOS MOTORS", "BAKERY": "BAKERY BAKERIES BAKING", "BEVERAGE": "BEVERAGE BEVERAGES BEV",
+    "BREWING": "BREWING BREWERY BREWERIES", "CEMENT": "CEMENT CEM CMT CEMENTS", "CHEMICAL": "CHEMICAL CHEMICALS CHEM CHEML", "COAL": "COAL COKE COALS", "CONCRETE": "CONCRETE CONC",
+    "CONSTRUCTION": "CONSTRUCTION CONSTR CONST BUILDERS", "COTTON": "COTTON GINNING", "DAIRY": "DAIRY DAIRIES DRY", "EGGS": "EGGS EGG", "ELECTRIC": "ELECTRIC ELECTRICAL ELEC", "ELECTRONICS": "ELECTRONICS ELECTRONIC",
+    "FARMS": "FARMS FARM RANCH", "FEED": "FEED FEEDS FD MILLS MLS MILL", "FERTILIZER": "FERTILIZER FERTILIZERS FERT", "FOODS": "FOODS FOOD", "FOUNDRY": "FOUNDRY FOUNDRIES CASTINGS", "FURNITURE": "FURNITURE FURN FURNISHINGS",
+    "GLASS": "GLASS GLS GLAS", "GRAIN": "GRAIN GRAINS GRN", "HARDWARE": "HARDWARE", "LIVESTOCK": "LIVESTOCK CATTLE HOGS", "LUMBER": "LUMBER LUMBR LBR", "MACHINERY": "MACHINERY MACHINE MACH MACHINES",
+    "MEATS": "MEATS MEAT PKG PACKING", "MEDICAL": "MEDICAL MED", "MILLING": "MILLING MLG MILLNG", "MINING": "MINING MINES MINERALS", "NURSERY": "NURSERY NURSERIES", "OIL": "OIL OILS", "PACKAGING": "PACKAGING CONTAINER CONTAINERS",
+    "PAINT": "PAINT PAINTS COATINGS", "PAPER": "PAPER PAPERS PPR", "PETROLEUM": "PETROLEUM PETRO PETROL PET", "PHARMA": "PHARMA PHARMACEUTICAL PHARMACEUTICALS PHARM", "PIPE": "PIPE TUBE PIPES TUBES TUBING",
+    "PLASTICS": "PLASTICS PLASTIC PLAS PLAST PLSTC", "POULTRY": "POULTRY CHICKEN", "PRINTING": "PRINTING PRESS", "PRODUCE": "PRODUCE", "PROPANE": "PROPANE PROP GAS", "RECYCLING": "RECYCLING RECYC RECYCLERS RECYCLER",
+    "REFINING": "REFINING REFIN REFNG REF REFINERY", "RUBBER": "RUBBER", "SAND": "SAND GRAVEL", "SCRAP": "SCRAP METAL METALS MTL SCRP", "SEAFOOD": "SEAFOOD SEAFOODS FISHERIES", "SEED": "SEED SEEDS", "STEEL": "STEEL STEELS STL",
+    "STONE": "STONE QUARRY QUARRIES", "SUGAR": "SUGAR", "TEXTILES": "TEXTILES TEXTILE TEX", "TIMBER": "TIMBER LOGGING", "TIRE": "TIRE TIRES", "TOBACCO": "TOBACCO", "WINE": "WINE WINES WINERY VINEYARDS",
 }
 #: Words of the trade that stand beside the line of business.
 TRADE = {
@@ -40,6 +45,10 @@ GIVEN = {
     "WILLIAM": "BILL WILL WM BILLY WILLIE", "FREDERICK": "FRED FREDDY FREDDIE FREDK", "GERALD": "JERRY GERRY GER", "THEODORE": "TED THEO TEDDY", "DEBORAH": "DEB DEBBIE DEBBY",
     "JAMES": "JIM JIMMY JAS JAMIE", "CHARLES": "CHARLIE CHUCK CHAS CHARLEY", "ALEXANDER": "ALEX SANDY ALEC", "MARGARET": "MAGGIE PEGGY MEG MARG MARGE PEG", "JOHN": "JACK JOHNNY",
     "CHRISTOPHER": "CHRIS KIT", "STEPHEN": "STEVE STEVEN", "MATTHEW": "MATT", "ANDREW": "ANDY DREW", "DAVID": "DAVE", "RONALD": "RON RONNIE", "DONALD": "DON DONNIE", "TIMOTHY": "TIM",
+    "JOSE": "PEPE", "MARIA": "", "ROSA": "ROSITA", "LUIS": "", "JUAN": "", "CARLOS": "", "PEDRO": "", "MIGUEL": "", "JORGE": "", "MANUEL": "MANNY", "ANTONIO": "", "FERNANDO": "", "ROBERTO": "BETO", "RICARDO": "", "EDUARDO": "", "JAVIER": "",
+    "MUHAMMAD": "MOHAMMED MOHAMMAD MOHAMED", "AHMED": "AHMAD", "ALI": "", "HASSAN": "", "OMAR": "", "IBRAHIM": "", "FATIMA": "", "WEI": "", "MING": "", "JIAN": "", "YAN": "", "HIROSHI": "", "KENJI": "", "RAJESH": "RAJ", "SANJAY": "", "AMIT": "", "PRIYA": "", "ANIL": "", "NGUYEN": "",
+    "MARK": "", "PAUL": "", "GEORGE": "", "BRIAN": "BRYAN", "KEVIN": "", "JASON": "", "ERIC": "ERIK", "SCOTT": "", "PETER": "PETE", "HENRY": "HANK", "WALTER": "WALT", "HAROLD": "HARRY HAL", "ARTHUR": "ART", "ALBERT": "BERTIE", "LOUIS": "LOU", "PHILIP": "PHIL PHILLIP", "DOUGLAS": "DOUG", "RUSSELL": "RUSS",
+    "ROGER": "", "GARY": "", "LINDA": "", "MARY": "", "NANCY": "", "KAREN": "", "LISA": "", "SANDRA": "", "HELEN": "", "RUTH": "", "SHARON": "", "ANNA": "ANN ANNE", "LAURA": "", "CAROL": "", "DIANE": "", "JULIE": "JULIA", "MARTHA": "", "TERESA": "TERRY THERESA", "GLORIA": "", "SARAH": "SARA",
     "GREGORY": "GREG", "JEFFREY": "JEFF", "RAYMOND": "RAY", "JENNIFER": "JENNY JEN", "BARBARA": "BARB BARBIE", "REBECCA": "BECKY", "VICTORIA": "VICKY", "CATHERINE": "CATHY", "DOROTHY": "DOT DOTTIE",
 }
 SUFFIXES = {"JR": "JR", "SR": "SR", "JUNIOR": "JR", "SENIOR": "SR", "II": "II", "III": "III", "IV": "IV"}
@@ -137,6 +146,12 @@ def _fuzzy_given() -> Fuzzy:
     return Fuzzy(GIVEN, 5)
 
 
+def listed(word: str) -> bool:
+    """Whether a word, digits read as letters, is on one of the lists."""
+    plain = word.translate(LOOKALIKES)
+    return any(w in table for w in (word, plain) for table in (BUSINESS_OF, TRADE_OF, LEGAL, NOISE)) or word == "PROD"
+
+
 @lru_cache(200_000)
 def word_class(word: str) -> tuple[str, str]:
     """Class and canonical form of a word: business, trade, legal, noise, or "" for any other word."""
@@ -178,10 +193,13 @@ def fold(core: str) -> str:
 
 @dataclass
 class Name:
-    """A parsed name. kind: "org", "person" or "" (nobody); keys: folded cores, the first as written, others reordered."""
+    """A parsed name. kind: "org", "person" or "" (nobody); keys: folded cores, the first as written, others reordered; of an
+    organisation first, the first word, and rest, the core behind it (null if too short)."""
 
     kind: str = ""
     keys: list[str] = field(default_factory=list)
+    first: str | None = None
+    rest: str | None = None
     business: str | None = None
     partial: str | None = None
     trade: str | None = None
@@ -200,7 +218,9 @@ def normalized(text: str | None) -> str:
 
 
 def _rotations(tokens: list[str]) -> list[str]:
-    keys = [fold("".join(tokens))]
+    """Folded cores: as written; the words in alphabetical order, the same whatever their order; and rotated, so that a typo
+    that changes the alphabetical order of two to four words is met too."""
+    keys = [fold("".join(tokens)), fold("".join(sorted(tokens)))]
     for i in range(1, min(len(tokens), 4)):
         keys.append(fold("".join(tokens[i:] + tokens[:i])))
     return list(dict.fromkeys(keys))
@@ -212,9 +232,11 @@ def _person(tokens: list[str]) -> Name | None:
     at = next((i for i, t in enumerate(rest) if t in GIVEN_OF and i in (0, len(rest) - 1, len(rest) - 2)), None)
     if at is None:
         at = next((i for i, t in enumerate(rest) if given_names(t)), None)
+    if at is None and suffix and 2 <= len(rest) <= 3 and all(t.isalpha() for t in rest):
+        at = 0  # an unlisted given name before a surname and a generation
     if at is None or len(rest) < 2:
         return None
-    names = sorted(given_names(rest[at]))
+    names = sorted(given_names(rest[at])) or [rest[at]]
     before, after = rest[:at], rest[at + 1 :]
     initial = None
     if sum(map(len, before)) >= 5:  # surname first
@@ -230,8 +252,9 @@ def _person(tokens: list[str]) -> Name | None:
     return Name("person", [fold("".join(surname))], given=names, initial=initial, suffix=suffix)
 
 
-def parse(text: str | None) -> Name:
-    """Parse a normalised name; null, empty and placeholder names give the kind ""."""
+def parse(text: str | None, learned: dict[str, str] | None = None) -> Name:
+    """Parse a normalised name; null, empty and placeholder names give the kind "". `learned`: further words of lines of
+    business with their canonical forms, as lexicon.learned_lines() finds them."""
     s = normalized(text)
     if not s or all(t in PLACEHOLDERS or t.isdigit() for t in s.split()):
         return Name()
@@ -239,7 +262,9 @@ def parse(text: str | None) -> Name:
     tokens = s.split()
     while tokens and tokens[0] in NOISE:
         tokens = tokens[1:]
-    classes = [word_class(t) for t in tokens]
+    learned = learned or {}
+    # a first word is taken for a listed one only if it is spelt like it: it is mostly part of the core
+    classes = [("business", learned[t]) if t in learned else word_class(t) if i or listed(t) else ("", t) for i, t in enumerate(tokens)]
     known = {"business", "trade", "legal", "prod"}
     exact = [c[0] in known for c in classes]
     if not any(exact) or (any(t in SUFFIXES for t in tokens) and not any(c[0] == "business" for c in classes)):
@@ -269,7 +294,7 @@ def parse(text: str | None) -> Name:
                 break
             length += len(t)
         core, trailing = tokens[:cut], tokens[cut:]
-        described = [later_class(t) for t in trailing]
+        described = [classes[cut + i] if classes[cut + i][0] else later_class(t) for i, t in enumerate(trailing)]
     partial = None
     if first != 0 and not trailing and len(core) > 1 and len("".join(core[:-1])) >= 8:
         tail = core[-1]
@@ -289,4 +314,6 @@ def parse(text: str | None) -> Name:
         last = trailing[-1]
         if word_class(last)[0] == "" and any(w.startswith(last) for w in BUSINESS) and len(last) <= 9:
             partial = last
-    return Name("org", _rotations(core), business=business, partial=partial, trade=trades[0] if trades else None)
+    keys, folded = _rotations(core), fold(tokens[0])
+    rest = keys[0][len(folded) :] if keys[0].startswith(folded) and len(keys[0]) - len(folded) >= 4 else None
+    return Name("org", keys, first=tokens[0], rest=rest, business=business, partial=partial, trade=trades[0] if trades else None)

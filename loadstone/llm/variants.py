@@ -17,18 +17,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadstone.llm import names
+from loadstone.llm import lexicon, names
 from loadstone.llm.components import connected_components
-from loadstone.session import materialize, release
+from loadstone.session import discard, materialize
 
 #: Edit distance between folded cores; cores under SHORT characters are allowed one edit less.
 DISTANCE, SHORT = 2, 9
 
-_PARSED = "kind string, keys array<string>, business string, partial string, trade string, given array<string>, initial string, suffix string"
+_PARSED = "kind string, keys array<string>, first string, rest string, business string, partial string, trade string, given array<string>, initial string, suffix string"
 
 
-def parse_names(df: DataFrame, column: str) -> DataFrame:
-    """`df` with the parsed parts of its name column: kind, keys, business, partial, trade, given, initial, suffix."""
+def parse_names(df: DataFrame, column: str, learned: dict[str, str] | None = None) -> DataFrame:
+    """`df` with the parsed parts of its name column: kind, keys, first, rest, business, partial, trade, given, initial,
+    suffix. `learned`: see names.parse()."""
     parts = [f for f in T._parse_datatype_string(_PARSED).fields]
     clash = {f.name for f in parts} & set(df.columns)
     if clash:
@@ -37,7 +38,7 @@ def parse_names(df: DataFrame, column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [names.parse(x) for x in batch.column(batch.schema.names.index(column)).to_pylist()]
+            parsed = [names.parse(x, learned) for x in batch.column(batch.schema.names.index(column)).to_pylist()]
             kinds = {"keys": pa.list_(pa.string()), "given": pa.list_(pa.string())}
             columns = [pa.array([getattr(p, f.name) for p in parsed], kinds.get(f.name, pa.string())) for f in parts]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
@@ -102,88 +103,103 @@ def segment_join(left: DataFrame, right: DataFrame, k: int = DISTANCE, short: in
 
 
 def core_families(parsed: DataFrame, k: int = DISTANCE) -> DataFrame:
-    """Families of cores: kind, key, family, for every first key of `parsed`."""
-    firsts = parsed.filter(F.size("keys") > 0).select("kind", F.col("keys")[0].alias("s")).distinct()
-    every = parsed.filter(F.size("keys") > 0).select("kind", F.col("keys")[0].alias("first"), F.explode("keys").alias("s")).distinct()
-    links = segment_join(firsts, every, k)
-    owner = every.select("kind", F.col("s").alias("b"), "first")
-    links = links.join(owner, ["kind", "b"]).filter(F.col("a") != F.col("first"))
+    """Families of cores: kind, key, family, for every first key of `parsed`.
+
+    Cores are looked up as written and with their words in alphabetical order (the second key) by all keys of the others.
+    """
+    keyed = parsed.filter(F.size("keys") > 0).select("kind", "keys").distinct()
+    firsts = keyed.select("kind", F.col("keys")[0].alias("s")).distinct()
+    every = keyed.select("kind", F.col("keys")[0].alias("first"), F.explode("keys").alias("s")).distinct()
+    index = keyed.select("kind", F.col("keys")[0].alias("owner"), F.explode(F.slice("keys", 1, 2)).alias("s")).distinct()
+    links = segment_join(index.select("kind", "s"), every.select("kind", "s"), k)
+    links = links.join(every.select("kind", F.col("s").alias("b"), "first"), ["kind", "b"]).join(index.select("kind", F.col("s").alias("a"), "owner"), ["kind", "a"])
     node = lambda c: F.concat_ws("|", "kind", c)
-    found = connected_components(links.select(node("a").alias("a"), node("first").alias("b")))
+    found = connected_components(links.filter(F.col("owner") != F.col("first")).select(node("owner").alias("a"), node("first").alias("b")))
     named = firsts.select("kind", F.col("s").alias("key"), node("s").alias("node"))
     return named.join(found, "node", "left").select("kind", "key", F.coalesce("component", "node").alias("family"))
 
 
-def _evidence(parts: list[tuple[str, int]]) -> Column:
-    """How well a record (columns as they are) fits a profile (columns with _2): points of the equal ones."""
-    points = []
+def _agreements(group: list[Column], parts: list[tuple[str, int]]) -> Column:
+    """The keys under which a record meets those that agree with it on some of its evidence: (points, hash) for each set of
+    columns that has no null; a city agrees by its first or its last letters, as it may be misspelt."""
+    chosen: list[tuple[int, list[Column]]] = [(0, [])]
     for name, worth in parts:
-        a, b = F.col(name), F.col(f"{name}_2")
-        same = (a == b) | (F.levenshtein(a, b, 2) >= 0) & (F.length(a) > 6) if name == "city" else (a == b)
-        points.append(F.when(same, worth).otherwise(0))
-    return reduce(lambda x, y: x + y, points)
+        c = F.col(name)
+        ways = [F.concat(F.lit("<"), F.substring(c, 1, 5)), F.concat(F.lit(">"), F.substring(c, -5, 5))] if name == "city" else [c]
+        chosen += [(points + worth, [*columns, F.concat(F.lit(f"{name}="), way)]) for points, columns in chosen for way in ways]
+    whole = [F.struct(F.lit(points).alias("points"), F.when(reduce(lambda x, y: x & y, [c.isNotNull() for c in columns], F.lit(True)), F.xxhash64(F.lit(len(columns)), *group, *columns)).alias("met")) for points, columns in chosen]
+    return F.filter(F.array(*whole), lambda x: x["met"].isNotNull())
 
 
-def resolve(records: DataFrame, within: list[str], attribute: str, allowed: Column, evidence: list[tuple[str, int]]) -> DataFrame:
+def resolve(records: DataFrame, within: list[str], attribute: str, allowed: Column, evidence: list[tuple[str, int]], otherwise: Column | None = None, beside: tuple[str, ...] = ()) -> DataFrame:
     """Fill a missing `attribute` from the records of the same group that have it.
 
     A single candidate value that is allowed is taken; of several, the one whose records share most of the evidence (place,
-    goods, trade), if one is ahead. All others stay null. `allowed` compares a record with the candidate in
-    `<attribute>_2`. Candidates are distinct profiles, not rows.
+    goods, trade), if one is ahead. If none is allowed and `otherwise` holds, all candidates count. All others stay null.
+    `allowed` compares a record with the candidate in `<attribute>_2` and with what stands beside it, columns of few values. Records and candidates meet under keys of the group
+    and the evidence they agree on, where a candidate value is one row: the work is linear in the records, however many a
+    group has. The result is written; `records` isn't read any more afterwards if it is a written table itself.
     """
-    columns = [name for name, _ in evidence]
-    missing = records.filter(F.col(attribute).isNull())
-    profiles = records.filter(F.col(attribute).isNotNull()).select(*within, *[F.col(c).alias(f"{c}_2") for c in [attribute, *columns]]).distinct()
-    met = missing.join(profiles, within).filter(allowed)
-    scores = met.groupBy("id", f"{attribute}_2").agg(F.max(_evidence(evidence)).alias("points"))
+    met_by = _agreements([F.col(c) for c in within], evidence)
+    missing = records.filter(F.col(attribute).isNull()).withColumn("x", F.explode(met_by)).withColumn("points", F.col("x.points")).withColumn("met", F.col("x.met"))
+    wanted = missing.select("met").distinct()
+    values = records.filter(F.col(attribute).isNotNull()).select(*[F.col(c).alias(f"{c}_2") for c in (attribute, *beside)], F.explode(met_by).alias("x")).select("*", "x.met").drop("x")
+    values = values.join(wanted, "met", "left_semi").distinct()
+    met = missing.join(values, "met").withColumn("fits", F.coalesce(allowed, F.lit(False)))
+    met = met.filter(F.col("fits") | (otherwise if otherwise is not None else F.lit(False)))
+    scores = met.groupBy("id", f"{attribute}_2").agg(F.max("fits").alias("fits"), F.max("points").alias("points"))
     best = scores.groupBy("id").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.struct("points", f"{attribute}_2")).alias("best"), F.sort_array(F.collect_list("points"), False).alias("all")
-    )  # at most as many entries as a group has values
-    sure = best.filter((F.col("n") == 1) | (F.col("all")[0] > F.col("all")[1])).select("id", F.col(f"best.{attribute}_2").alias("filled"))
-    # written out: the records are read three times here, and calls follow one another
+        F.sort_array(F.collect_list(F.struct("fits", "points", f"{attribute}_2")), False).alias("all")  # at most as many entries as a group has values
+    )
+    first, second = F.col("all")[0], F.try_element_at("all", F.lit(2))
+    sure = best.filter(second.isNull() | (first["fits"] != second["fits"]) | (first["points"] > second["points"])).select("id", first[f"{attribute}_2"].alias("filled"))
     return materialize(records.join(sure, "id", "left").withColumn(attribute, F.coalesce(attribute, "filled")).drop("filled"))
 
 
 EVIDENCE = [("city", 4), ("trade", 3), ("state", 2), ("goods", 1)]
 
 
-def spelling_groups(names_df: DataFrame, id: str = "shipper_id", name: str = "shipper_norm", state: str | None = "main_state", city: str | None = "main_city", goods: str | None = "sctg2", k: int = DISTANCE) -> DataFrame:
+def spelling_groups(
+    names_df: DataFrame, id: str = "shipper_id", name: str = "shipper_norm", state: str | None = "main_state", city: str | None = "main_city", goods: str | None = "sctg2", k: int = DISTANCE, detail: bool = False, learned: dict[str, str] | None = None
+) -> DataFrame:
     """The group of every named row: `id`, kind ("org" or "person"), group and line (of business, null if unknown).
 
     Rows share a group if they name the same organisation or person: cores of one family, and one line of business, or one
-    given name (short forms are known), generation (JR, SR) and no contradicting initial. A missing line of business,
-    generation or initial is filled by resolve(); a row that stays undecided is a group of its own. Null, blank and
-    placeholder names have no group and give no rows; rows with equal names share a group; a null id stays null. Places and
-    goods may be left out (None) and are evidence only.
+    given name (short forms are known), generation (JR, SR) and no contradicting initial. Lines of business that aren't
+    listed are learned from the names, unless `learned` gives them. A missing line of business, generation or initial is
+    filled by resolve(); a row that stays undecided is a group of its own. Null, blank and placeholder names have no group
+    and give no rows; rows with equal names share a group; a null id stays null. Places and goods may be left out (None)
+    and are evidence only. With `detail` also name, keys, first, rest (see names.Name), state, city and goods.
     """
 
     def column(c: str | None) -> Column:
         return F.upper(F.trim(F.col(c))) if c else F.lit(None).cast("string")
 
+    learned = lexicon.learned_lines(names_df, name, city) if learned is None else learned
     rows = names_df.select(F.col(id).alias("row"), F.col(name).alias("name"), column(state).alias("state"), column(city).alias("city"), column(goods).alias("goods"))
     rows = rows.withColumn("goods", F.when(F.col("goods") != "31", F.col("goods")))  # 31 is the general class
     rows = rows.filter(F.col("name").isNotNull()).withColumn("id", F.concat_ws("|", F.col("row").cast("string"), F.xxhash64("name", "state", "city").cast("string")))
-    parsed = materialize(parse_names(rows, "name").filter(F.col("kind") != ""))
-    families = core_families(parsed, k).withColumnRenamed("kind", "kind_")
-    located = materialize(parsed.withColumn("key", F.col("keys")[0]).join(families.withColumnRenamed("key", "key_"), (F.col("kind") == F.col("kind_")) & (F.col("key") == F.col("key_"))).drop("kind_", "key_", "keys"))
-    release(names_df.sparkSession)
+    parsed = materialize(parse_names(rows, "name", learned).filter(F.col("kind") != "").withColumn("key", F.col("keys")[0]))
+    families = core_families(parsed, k)
+    located = materialize(parsed.join(families, ["kind", "key"]))
+    discard(parsed)
+    more = ["name", "keys", "first", "rest", "state", "city", "goods"] if detail else []
 
-    orgs = located.filter(F.col("kind") == "org")
     fits = F.col("partial").isNull() | F.col("business_2").startswith(F.col("partial")) | F.when(F.col("partial") == "PROD", F.col("business_2") == "PRODUCE").otherwise(False)
-    orgs = resolve(orgs, ["family"], "business", fits, EVIDENCE)
-    loose = F.when(F.col("partial").isNotNull(), True).otherwise(F.lit(False))
-    orgs = resolve(orgs, ["family"], "business", loose, EVIDENCE)  # a remnant that fits no known line may be of another word
-    without = orgs.groupBy("family").agg(F.count("business").alias("known"))
-    orgs = orgs.join(without, "family").withColumn("part", F.when(F.col("business").isNotNull(), F.col("business")).when(F.col("known") == 0, F.lit("")).otherwise(F.concat(F.lit("?"), F.col("id"))))
-    orgs = orgs.select("row", "kind", F.concat_ws("|", "family", "part").alias("label"), "business")
+    # a remnant that fits no known line may be of another word
+    orgs = resolve(located.filter(F.col("kind") == "org"), ["family"], "business", fits, EVIDENCE, otherwise=F.col("partial").isNotNull())
+    known = orgs.groupBy("family").agg(F.count("business").alias("known"))
+    orgs = orgs.join(known, "family").withColumn("part", F.when(F.col("business").isNotNull(), F.col("business")).when(F.col("known") == 0, F.lit("")).otherwise(F.concat(F.lit("?"), F.col("id"))))
+    orgs = orgs.select("row", "kind", F.concat_ws("|", "family", "part").alias("label"), "business", *more)
 
     people = located.filter(F.col("kind") == "person").withColumn("only", F.when(F.size("given") == 1, F.col("given")[0]))
-    people = resolve(people, ["family"], "only", F.array_contains("given", F.col("only_2")), EVIDENCE).withColumn("only", F.coalesce("only", F.array_join("given", "/")))
-    people = resolve(people, ["family", "only"], "suffix", F.col("initial").isNull() | F.col("initial_2").isNull() | (F.col("initial") == F.col("initial_2")), [*EVIDENCE, ("initial", 8)])
-    people = people.withColumn("generation", F.coalesce("suffix", F.lit("")))
-    people = resolve(people, ["family", "only", "generation"], "initial", F.lit(True), EVIDENCE)
-    people = people.select("row", "kind", F.concat_ws("|", "family", "only", "generation", F.coalesce("initial", F.lit(""))).alias("label"), F.lit(None).cast("string").alias("business"))
-    return orgs.unionByName(people).select(F.col("row").alias(id), "kind", F.md5("label").alias("group"), F.col("business").alias("line"))
+    named = resolve(people, ["family"], "only", F.array_contains("given", F.col("only_2")), EVIDENCE)
+    aged = resolve(named.withColumn("only", F.coalesce("only", F.array_join("given", "/"))), ["family", "only"], "suffix", F.col("initial").isNull() | F.col("initial_2").isNull() | (F.col("initial") == F.col("initial_2")), [*EVIDENCE, ("initial", 8)], beside=("initial",))
+    known = aged.withColumn("generation", F.coalesce("suffix", F.lit("")))
+    people = resolve(known, ["family", "only", "generation"], "initial", F.lit(True), EVIDENCE)
+    discard(located, named, aged)
+    people = people.select("row", "kind", F.concat_ws("|", "family", "only", "generation", F.coalesce("initial", F.lit(""))).alias("label"), F.lit(None).cast("string").alias("business"), *more)
+    return orgs.unionByName(people).select(F.col("row").alias(id), "kind", F.md5("label").alias("group"), F.col("business").alias("line"), *more)
 
 
 def group_pairs(groups: DataFrame, id: str = "shipper_id") -> DataFrame:
