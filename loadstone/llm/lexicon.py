@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loadstone.llm import names
@@ -12,14 +11,14 @@ from loadstone.llm import names
 SHARE, LEAST = 2000, 20
 #: ... behind so many different words per name that holds it, none of which is before more than so large a part of them.
 HEADS, TOP = 0.3, 0.2
-#: A shorter spelling stands for a longer one that is behind at least this part of the words that it is behind.
+#: The rarer of two spellings stands for the other if that is behind at least this part of the words that it is behind.
 TOGETHER = 0.3
 
 
 def _shortens(short: Column, long: Column) -> Column:
     """Whether the letters of `short` occur in `long` in their order and both begin alike."""
     pattern = F.concat(F.lit("^"), F.regexp_replace(short, "(.)", "$1.*"))
-    return long.rlike(pattern)
+    return F.regexp_like(long, pattern)
 
 
 def learned_lines(df: DataFrame, name: str, city: str | None = None) -> dict[str, str]:
@@ -27,7 +26,7 @@ def learned_lines(df: DataFrame, name: str, city: str | None = None) -> dict[str
 
     A word counts if it is in a share of the names, mostly not the first, and behind ever different words; listed words,
     words of the city column and words of one or two letters don't. A word is a spelling of a more frequent one, learned or
-    listed, if it shortens it and both stand behind the same words. The thresholds are shares, so at most SHARE times the
+    listed, if the shorter shortens the longer and both stand behind the same words; one that begins several isn't any. The thresholds are shares, so at most SHARE times the
     words of a name are found, whatever the number of names: they may go to the driver. Null and empty names, and tables
     too small to tell, give nothing.
     """
@@ -49,20 +48,24 @@ def learned_lines(df: DataFrame, name: str, city: str | None = None) -> dict[str
             del fresh[r["w"]]
     if not fresh:
         return {}
-    # which of them are spellings of which: both behind the same words
-    known = spark.createDataFrame([(w, n, w in fresh) for w, n in words_found.items() if w in fresh or w in business], "w string, n bigint, fresh boolean")
-    heads = pairs.join(F.broadcast(known), "w").select("w", "h", F.col("n").alias("k"), "fresh")
-    a, b = heads.filter("fresh").select(F.col("w").alias("a"), "h"), heads.select(F.col("w").alias("b"), "h")
-    both = a.join(b, (a["h"] == b["h"]) & (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.length("a") < F.length("b"))).filter(_shortens(F.col("a"), F.col("b")))
-    together = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
-    of = heads.filter("fresh").groupBy(F.col("w").alias("a")).agg(F.count(F.lit(1)).alias("of"))
-    near = together.join(of, "a").filter(F.col("both") >= F.col("of") * TOGETHER)
-    best = near.withColumn("rn", F.row_number().over(W.partitionBy("a").orderBy(F.col("both").desc(), "b"))).filter("rn = 1")
-    spelled = {r["a"]: r["b"] for r in best.select("a", "b").collect()}
+    # which of them are spellings of which: the rarer of two stands behind the same words as the other
+    known = spark.createDataFrame([(w,) for w in words_found if w in fresh or w in business], "w string")
+    heads = pairs.join(F.broadcast(known), "w").select("w", "h")
+    a, b = heads.select(F.col("w").alias("a"), "h"), heads.select(F.col("w").alias("b"), F.col("h").alias("h2"))
+    alike = (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.length("a") < F.length("b"))
+    both = a.join(b, (F.col("h") == F.col("h2")) & alike).filter(_shortens(F.col("a"), F.col("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
+    of = dict(heads.groupBy("w").count().collect())
+    spelled: dict[str, tuple[int, str]] = {}
+    for r in both.collect():  # pairs of found words
+        rare, usual = sorted((r["a"], r["b"]), key=lambda w: (w in business, of[w], w))
+        if rare in fresh and r["both"] >= of[rare] * TOGETHER:
+            spelled[rare] = max(spelled.get(rare, (0, "")), (r["both"], usual))
     out = {}
     for w in fresh:
+        if len({names.BUSINESS_OF.get(x, x) for x in (*business, *names.TRADE_OF, *fresh) if x != w and x.startswith(w)}) > 1:
+            continue  # a remnant of several words
         target = w
-        while target in spelled:  # each is longer than the one before
-            target = spelled[target]
+        while target in spelled:  # each more frequent than the one before
+            target = spelled[target][1]
         out[w] = names.BUSINESS_OF.get(target, target)
     return out
