@@ -194,10 +194,11 @@ def fold(core: str) -> str:
 @dataclass
 class Name:
     """A parsed name. kind: "org", "person" or "" (nobody); keys: folded cores, the first as written, others reordered; of an
-    organisation first, the first word, and rest, the core behind it (null if too short)."""
+    organisation words, the number of words of the core, first, the first word, and rest, the core behind it (null if too short)."""
 
     kind: str = ""
     keys: list[str] = field(default_factory=list)
+    words: int = 0
     first: str | None = None
     rest: str | None = None
     business: str | None = None
@@ -218,9 +219,9 @@ def normalized(text: str | None) -> str:
 
 
 def _rotations(tokens: list[str]) -> list[str]:
-    """Folded cores: as written; the words in alphabetical order, the same whatever their order; and rotated, so that a typo
-    that changes the alphabetical order of two to four words is met too."""
-    keys = [fold("".join(tokens)), fold("".join(sorted(tokens)))]
+    """Folded cores: as written; of three or more words in alphabetical order, the same whatever their order; and rotated, so
+    that a typo that changes the alphabetical order of two to four words is met too."""
+    keys = [fold("".join(tokens))] + [fold("".join(sorted(tokens)))] * (len(tokens) > 2)
     for i in range(1, min(len(tokens), 4)):
         keys.append(fold("".join(tokens[i:] + tokens[:i])))
     return list(dict.fromkeys(keys))
@@ -316,4 +317,4 @@ def parse(text: str | None, learned: dict[str, str] | None = None) -> Name:
             partial = last
     keys, folded = _rotations(core), fold(tokens[0])
     rest = keys[0][len(folded) :] if keys[0].startswith(folded) and len(keys[0]) - len(folded) >= 4 else None
-    return Name("org", keys, first=tokens[0], rest=rest, business=business, partial=partial, trade=trades[0] if trades else None)
+    return Name("org", keys, words=len(core), first=tokens[0], rest=rest, business=business, partial=partial, trade=trades[0] if trades else None)

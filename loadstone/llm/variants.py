@@ -24,7 +24,7 @@ from loadstone.session import discard, materialize
 #: Edit distance between folded cores; cores under SHORT characters are allowed one edit less.
 DISTANCE, SHORT = 2, 9
 
-_PARSED = "kind string, keys array<string>, first string, rest string, business string, partial string, trade string, given array<string>, initial string, suffix string"
+_PARSED = "kind string, keys array<string>, words int, first string, rest string, business string, partial string, trade string, given array<string>, initial string, suffix string"
 
 
 def parse_names(df: DataFrame, column: str, learned: dict[str, str] | None = None) -> DataFrame:
@@ -39,7 +39,7 @@ def parse_names(df: DataFrame, column: str, learned: dict[str, str] | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parsed = [names.parse(x, learned) for x in batch.column(batch.schema.names.index(column)).to_pylist()]
-            kinds = {"keys": pa.list_(pa.string()), "given": pa.list_(pa.string())}
+            kinds = {"keys": pa.list_(pa.string()), "given": pa.list_(pa.string()), "words": pa.int32()}
             columns = [pa.array([getattr(p, f.name) for p in parsed], kinds.get(f.name, pa.string())) for f in parts]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
 
@@ -105,12 +105,12 @@ def segment_join(left: DataFrame, right: DataFrame, k: int = DISTANCE, short: in
 def core_families(parsed: DataFrame, k: int = DISTANCE) -> DataFrame:
     """Families of cores: kind, key, family, for every first key of `parsed`.
 
-    Cores are looked up as written and with their words in alphabetical order (the second key) by all keys of the others.
+    Cores are looked up as written and, of three or more words, in alphabetical order (the second key), by all keys of the others.
     """
-    keyed = parsed.filter(F.size("keys") > 0).select("kind", "keys").distinct()
+    keyed = parsed.filter(F.size("keys") > 0).select("kind", "keys", "words").distinct()
     firsts = keyed.select("kind", F.col("keys")[0].alias("s")).distinct()
     every = keyed.select("kind", F.col("keys")[0].alias("first"), F.explode("keys").alias("s")).distinct()
-    index = keyed.select("kind", F.col("keys")[0].alias("owner"), F.explode(F.slice("keys", 1, 2)).alias("s")).distinct()
+    index = keyed.select("kind", F.col("keys")[0].alias("owner"), F.explode(F.slice("keys", F.lit(1), F.when(F.col("words") > 2, 2).otherwise(1))).alias("s")).distinct()
     links = segment_join(index.select("kind", "s"), every.select("kind", "s"), k)
     links = links.join(every.select("kind", F.col("s").alias("b"), "first"), ["kind", "b"]).join(index.select("kind", F.col("s").alias("a"), "owner"), ["kind", "a"])
     node = lambda c: F.concat_ws("|", "kind", c)
