@@ -35,7 +35,7 @@ TOKENS = PIECES + OTHERS
 #: Bits of the sketch that tells near pairs in a bucket; a query's least certain bits, of which none, one or two are flipped.
 SKETCH, PROBES = 128, 6
 #: The least cosine of a candidate, and the share of pairs at TUNED cosine that the hyperplane tables are to find.
-LEAST_COSINE, TUNED, RECALL = 0.6, 0.75, 0.9
+LEAST_COSINE, TUNED, RECALL = 0.5, 0.75, 0.9
 #: What a line, a wording or goods count beside their rarity; pieces count 1.
 CLASS_WEIGHT = {"b": 1.0, "w": 0.6, "g": 0.2}
 #: The weight with which an earlier match carries walks; a missing confidence counts least.
@@ -54,7 +54,7 @@ def token(kind: str, text: str) -> int:
 
 
 def pieces(core: str) -> list[int]:
-    return sorted({zlib.crc32(core[i : i + 3].encode()) % PIECES for i in range(max(1, len(core) - 2))})
+    return sorted({zlib.crc32(core[i : i + 4].encode()) % PIECES for i in range(max(1, len(core) - 3))})
 
 
 def tokenized(df: DataFrame) -> DataFrame:
