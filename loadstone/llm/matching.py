@@ -34,7 +34,7 @@ SIZE, WALKS, STEPS, DRAWS = 64, 2, 4, 2
 PIECES, OTHERS = 1 << 14, 1 << 12
 TOKENS = PIECES + OTHERS
 #: Bits of the sketch that tells near pairs in a bucket; a query's least certain bits, of which none, one or two are flipped.
-SKETCH, PROBES = 192, 6
+SKETCH, PROBES = 256, 6
 #: The least cosine of a candidate, and the share of pairs at TUNED cosine that the hyperplane tables are to find.
 LEAST_COSINE, TUNED, RECALL = 0.55, 0.75, 0.9
 #: What a line, a wording or goods count beside their rarity; pieces count 1.
@@ -223,13 +223,13 @@ def vectors_of(trained: pa.Table, degree: np.ndarray, records: int, seed: int =
 
 
 def signed(records: DataFrame, v: Vectors) -> DataFrame:
-    """One row per view of a record (id, side, views): id, side, view, vector (unit length), sketch s0 to s2, and buckets.
+    """One row per view of a record (id, side, views): id, side, view, vector (unit length), sketch s0 to s3, and buckets.
 
     A bucket is the view, the table and its bits of the signature; records of side b, the queries, also look into those that
     differ in one or two of the PROBES bits whose hyperplanes are nearest.
     """
     shared = records.sparkSession.sparkContext.broadcast(v)
-    schema = "id bigint, side string, view int, vector array<float>, s0 bigint, s1 bigint, s2 bigint, buckets array<bigint>"
+    schema = "id bigint, side string, view int, vector array<float>, s0 bigint, s1 bigint, s2 bigint, s3 bigint, buckets array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
@@ -251,7 +251,7 @@ def signed(records: DataFrame, v: Vectors) -> DataFrame:
             n = len(owner)
             margin = out @ v.planes
             bits = (margin > 0).astype(np.uint8)
-            sketch = np.packbits(bits[:, :SKETCH], axis=1, bitorder="little").view("<i8") if n else np.zeros((0, 3), np.int64)
+            sketch = np.packbits(bits[:, :SKETCH], axis=1, bitorder="little").view("<i8") if n else np.zeros((0, 4), np.int64)
             sides = batch["side"].take(pa.array(owner))
             powers = 1 << np.arange(v.bits, dtype=np.int64)
             signature = bits[:, SKETCH:].reshape(n, v.tables, v.bits) @ powers if n else np.zeros((0, v.tables), np.int64)
@@ -263,7 +263,7 @@ def signed(records: DataFrame, v: Vectors) -> DataFrame:
             own = signature | place
             lists = [np.concatenate([o, p.ravel()]) if q else o for o, p, q in zip(own, probed, queries, strict=True)]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SIZE), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(owner)), sides, pa.array(view, pa.int32()), flat, *[pa.array(sketch[:, k]) for k in range(3)], pa.array(lists, pa.list_(pa.int64()))], names=["id", "side", "view", "vector", "s0", "s1", "s2", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(owner)), sides, pa.array(view, pa.int32()), flat, *[pa.array(sketch[:, k]) for k in range(4)], pa.array(lists, pa.list_(pa.int64()))], names=["id", "side", "view", "vector", "s0", "s1", "s2", "s3", "buckets"])
 
     return records.select("id", "side", "views").mapInArrow(run, schema)
 
@@ -277,8 +277,8 @@ def blocked_pairs(views: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """
     p = math.acos(least) / math.pi
     far = math.floor(SKETCH * p + 2.5 * math.sqrt(SKETCH * p * (1 - p)))
-    side = lambda s, n: views.filter(F.col("side") == s).select(F.col("id").alias(n), F.col("view"), *[F.col(f"s{k}").alias(f"{n}{k}") for k in range(3)], F.explode("buckets").alias("bucket"))
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(3)])
+    side = lambda s, n: views.filter(F.col("side") == s).select(F.col("id").alias(n), F.col("view"), *[F.col(f"s{k}").alias(f"{n}{k}") for k in range(4)], F.explode("buckets").alias("bucket"))
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(4)])
     met = side("a", "a").hint("merge").join(side("b", "b").drop("view"), "bucket").filter(apart <= far).select("a", "b", "view").distinct()
     vector = lambda s, n, v: views.filter(F.col("side") == s).select(F.col("id").alias(n), "view", F.col("vector").alias(v))
     cosine = F.aggregate(F.zip_with("x", "y", lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)

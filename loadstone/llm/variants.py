@@ -96,7 +96,10 @@ def segment_join(left: DataFrame, right: DataFrame, k: int = DISTANCE, short: in
     (k * k - d * d) / 2 + k + 1 places per length difference d. Hot segments are spread by AQE's skew join; nothing is
     capped. The distance is verified in a band of k.
     """
-    met = _entries(left, "a", index_entries, k).join(_entries(right, "b", probe_entries, k), ["kind", "entry"])
+    # what meets is verified, so the keys may travel as hashes
+    hashed = lambda df, name: df.select("kind", name, F.xxhash64("kind", "entry").alias("met"))
+    right_entries = hashed(_entries(right, "b", probe_entries, k), "b").withColumnRenamed("kind", "kind_b")
+    met = hashed(_entries(left, "a", index_entries, k), "a").join(right_entries, "met").filter(F.col("kind") == F.col("kind_b"))
     most = F.when(F.least(F.length("a"), F.length("b")) < short, k - 1).otherwise(k)
     near = met.select("kind", "a", "b").distinct().withColumn("d", F.levenshtein("a", "b", k))
     return near.filter((F.col("d") >= 0) & (F.col("d") <= most))
