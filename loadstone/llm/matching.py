@@ -36,7 +36,7 @@ TOKENS = PIECES + OTHERS
 #: Bits of the sketch that tells near pairs in a bucket; a query's least certain bits, of which none, one or two are flipped.
 SKETCH, PROBES = 256, 6
 #: The least cosine of a candidate, and the share of pairs at TUNED cosine that the hyperplane tables are to find.
-LEAST_COSINE, TUNED, RECALL = 0.55, 0.75, 0.9
+LEAST_COSINE, TUNED, RECALL = 0.6, 0.75, 0.9
 #: What a line, a wording or goods count beside their rarity; pieces count 1.
 CLASS_WEIGHT = {"b": 1.0, "w": 0.6, "g": 0.2}
 #: The weight with which an earlier match carries walks; a missing confidence counts least.
@@ -273,10 +273,10 @@ def blocked_pairs(views: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
 
     Views of one kind meet in shared buckets; their number grows with the records, so a bucket keeps some few of different
     vectors. One with many, of equal vectors, is split by AQE's skew join: all joins here are sort-merge joins. Met pairs
-    whose sketches are further apart than two and a half standard deviations beyond the least cosine aren't reranked.
+    whose sketches are further apart than two standard deviations beyond the least cosine aren't reranked.
     """
     p = math.acos(least) / math.pi
-    far = math.floor(SKETCH * p + 2.5 * math.sqrt(SKETCH * p * (1 - p)))
+    far = math.floor(SKETCH * p + 2 * math.sqrt(SKETCH * p * (1 - p)))
     side = lambda s, n: views.filter(F.col("side") == s).select(F.col("id").alias(n), F.col("view"), *[F.col(f"s{k}").alias(f"{n}{k}") for k in range(4)], F.explode("buckets").alias("bucket"))
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(4)])
     met = side("a", "a").hint("merge").join(side("b", "b").drop("view"), "bucket").filter(apart <= far).select("a", "b", "view").distinct()
