@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 # Endings that a core name goes without; names that mean no shipper; placeholders for commodity rules.
@@ -88,10 +88,17 @@ def stable_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.nullif(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16)
 
 
-def exact_sum(value: Column | str, scale: int = 6) -> Column:
-    """A sum of doubles that doesn't depend on their order: as decimals; NaN counts as nothing. Null if nothing was summed."""
+def exact_sum(value: Column | str, scale: int = 6, over: WindowSpec | None = None) -> Column:
+    """A sum of doubles that doesn't depend on their order: as decimals of 18 digits, `scale` of them behind the point.
+
+    Numbers too large for that, infinities included, are summed beside as doubles and added; NaN counts as nothing. Null if
+    nothing was summed. With `over` the sum runs over a window.
+    """
     c = F.col(value) if isinstance(value, str) else value
-    return F.sum(F.when(~F.isnan(c), c).try_cast(f"decimal(18,{scale})")).cast("double")
+    number = F.when(~F.isnan(c), c)
+    exact = number.try_cast(f"decimal(18,{scale})")
+    sums = [F.sum(exact).cast("double"), F.sum(F.when(exact.isNull(), number.cast("double")))] if over is None else [F.sum(exact).over(over).cast("double"), F.sum(F.when(exact.isNull(), number.cast("double"))).over(over)]
+    return F.when(sums[1].isNull(), sums[0]).otherwise(F.coalesce(sums[0], F.lit(0.0)) + sums[1])
 
 
 def json_object(**fields: Column) -> Column:

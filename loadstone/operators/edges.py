@@ -80,7 +80,7 @@ def flow_edges(flows: DataFrame, year: str) -> DataFrame:
 
 def share_edges(shipments: DataFrame, year: str) -> DataFrame:
     """Commodity to nation from a weighted survey (code, weight, factor)."""
-    g = shipments.groupBy("code").agg(F.sum((F.col("weight") * F.col("factor")).cast("decimal(28,4)")).cast("double").alias("total"))
+    g = shipments.groupBy("code").agg(tx.exact_sum(F.col("weight") * F.col("factor"), 4).alias("total"))
     return g.select(*edge("shipment_share", "commodity", F.col("code"), "national", F.lit("US"), F.lit(year), "year", F.col("total"), F.lit("strong"), "survey_sum", "shipment_survey",
         tx.json_object(code=F.col("code")), tx.key_hash("shipment_share", F.col("code"), F.lit(year))))
 

@@ -144,7 +144,7 @@ def message_pass(edges: DataFrame, features: DataFrame, hops: int = 1, dim: int
         made = [both, hubs]
     spread = both.join(hubs, "other", "left").withColumn("piece", F.pmod(F.xxhash64("node"), F.coalesce("pieces", F.lit(1)))).drop("pieces")
     for _ in range(hops):
-        copies = state.withColumnRenamed("node", "other").join(hubs, "other", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).cast("bigint")).drop("pieces")
+        copies = state.withColumnRenamed("node", "other").join(hubs, "other", "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("pieces", F.lit(1)).cast("bigint") - 1))).drop("pieces")
         met = spread.join(copies, ["other", "piece"])
         sums = met.groupBy("node").agg(F.sum("times").alias("deg"), *[F.sum(F.col("embedding")[i] * F.col("times")).alias(f"s{i}") for i in range(dim)])
         mean = [F.greatest(F.col(f"s{i}") / F.col("deg"), F.lit(0.0)) for i in range(dim)]

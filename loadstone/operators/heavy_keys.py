@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loadstone.session import materialize
+
 
 def pair_frequencies(df: DataFrame, left: str, right: str, weight: str) -> DataFrame:
     """One row per distinct (left, right) value pair with n rows, and the summed weight.
@@ -25,45 +25,42 @@ def pair_frequencies(df: DataFrame, left: str, right: str, weight: str) -> DataF
     )
 
 
-def key_results(pairs: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key of compressed pairs: n_rows, total_weight, n_partners (distinct non-null values), the modal value.
+def per_key_results(df: DataFrame, keys: tuple[str, str] = ("dst_id", "src_id"), weight: str = "weight") -> DataFrame:
+    """Rows, total weight, distinct partners and the frequency of the commonest partner, per value of either key column.
 
-    Exact for any skew: the distinct count is a row count here, the mode the most frequent value (ties: the least).
-    Every statistic is mergeable, so the partial aggregation leaves one row per key and input partition.
+    Columns: key_column, key_value, n_rows, total_weight, n_partners (distinct non-null partners), mode_rows. Every pair is
+    compressed once and then counts for its left and its right key, so there is one scan and one shuffle of pairs. All
+    statistics are mergeable, so the partial aggregation leaves one row per key and input partition, whatever its skew. A
+    null key is reported as a row with key_value null; an empty table gives no rows.
     """
-    weight = F.coalesce(F.sum("exact").cast("double"), F.lit(0.0)) + F.coalesce(F.sum("rest"), F.lit(0.0))
-    # the mode without a sort: the maximum count per key first, then the least value among its holders
-    return pairs.groupBy(F.col(key).alias("key_value")).agg(
-        F.sum("n").alias("n_rows"),
-        weight.alias("total_weight"),
-        F.count(value).alias("n_partners"),
-        F.max(F.when(F.col(value).isNotNull(), F.col("n"))).alias("mode_rows"),
-    )
+    pairs = pair_frequencies(df, keys[0], keys[1], weight)
+    sides = F.array(*[F.struct(F.lit(name).alias("key_column"), F.col(key).alias("key_value"), F.col(value).isNotNull().alias("has")) for name, key, value in ((keys[0], "l", "r"), (keys[1], "r", "l"))])
+    sided = pairs.select(F.explode(sides).alias("s"), "n", "exact", "rest").select("s.*", "n", "exact", "rest")
+    total = F.coalesce(F.sum("exact").cast("double"), F.lit(0.0)) + F.coalesce(F.sum("rest"), F.lit(0.0))
+    partner = F.when(F.col("has"), F.col("n"))
+    return sided.groupBy("key_column", "key_value").agg(F.sum("n").alias("n_rows"), total.alias("total_weight"), F.count(partner).alias("n_partners"), F.max(partner).alias("mode_rows"))
 
 
-def per_key_results(df: DataFrame, keys: tuple[str, str] = ("dst_id", "src_id"), weight: str = "weight") -> DataFrame:
-    """Rows, total weight, distinct partners and the frequency of the commonest partner, per value of either key column.
+def key_modes(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The most frequent non-null value of each key and its number of rows: key_value, mode, n; ties: the least value.
 
-    Columns: key_column, key_value, n_rows, total_weight, n_partners, mode_rows. The pairs are made once and serve both
-    columns. A null key is reported as a row with key_value null; an empty table gives no rows.
+    Exact, from the compressed pairs: first the largest frequency of a key, then the least value that has it. Keys without
+    any value give no row.
     """
-    pairs = pair_frequencies(df, keys[0], keys[1], weight)
-    sides = [key_results(pairs, a, b).select(F.lit(name).alias("key_column"), "*") for name, a, b in ((keys[0], "l", "r"), (keys[1], "r", "l"))]
-    return reduce(DataFrame.unionByName, sides)
+    pairs = df.select(F.col(key).alias("key_value"), F.col(value).alias("v")).filter(F.col("v").isNotNull()).groupBy("key_value", "v").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min_by("v", F.struct(-F.col("n"), F.col("v")))
+    return pairs.groupBy("key_value").agg(best.alias("mode"), F.max("n").alias("n"))
 
 
 def heavy_keys(df: DataFrame, share: float = 0.01, keys: tuple[str, str] = ("dst_id", "src_id"), weight: str = "weight") -> DataFrame:
     """The non-null key values that hold at least `share` of all rows: key_column, key_value.
 
-    The number of rows is the sum over one key column's results, null keys included, so it needs no second scan.
+    The results per key are written once to the shared folder; the number of all rows, one number, is their sum over one key
+    column, null keys included, so the table itself is read once.
     """
-    results = per_key_results(df, keys, weight)
-    total = results.filter(F.col("key_column") == keys[0]).agg(F.sum("n_rows").alias("all_rows"))
-    return (
-        results.filter(F.col("key_value").isNotNull())
-        .join(F.broadcast(total), F.col("n_rows") >= F.col("all_rows") * F.lit(share))  # a single row
-        .select("key_column", "key_value")
-    )
+    results = materialize(per_key_results(df, keys, weight).select("key_column", "key_value", "n_rows"))
+    rows = results.filter(F.col("key_column") == keys[0]).agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    return results.filter(F.col("key_value").isNotNull() & (F.col("n_rows") >= rows * share)).select("key_column", "key_value")
 
 
 def weighted_percentiles(df: DataFrame, key: str, value: str, fractions: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:

@@ -17,7 +17,7 @@ def totals(flows: DataFrame, amounts: list[str]) -> DataFrame:
 def by_key_with_share(flows: DataFrame, key: str, amount: str) -> DataFrame:
     """The amount by key and its percentage of all; the window runs over the few aggregated rows."""
     g = flows.groupBy(key).agg(exact_sum(amount, 4).alias("amount"))
-    whole = F.sum(F.col("amount").cast("decimal(28,4)")).over(W.partitionBy()).cast("double")
+    whole = exact_sum("amount", 4, over=W.partitionBy())
     return g.select(key, "amount", (F.lit(100.0) * F.col("amount") / F.nullif(whole, F.lit(0.0))).alias("share_pct"))
 
 

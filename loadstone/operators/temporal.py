@@ -22,10 +22,10 @@ def monthly_weights(events: DataFrame, by_state: bool = False) -> DataFrame:
 
 
 def shares(macro: DataFrame, key: str, amount: str) -> DataFrame:
-    """Percentage of the total by key; the total is a single row."""
+    """Percentage of the total by key; the input is computed once, the total over its few aggregated rows."""
     g = macro.groupBy(key).agg(tx.exact_sum(amount).alias("amount"))
-    total = g.agg(F.sum(F.col("amount").cast("decimal(28,6)")).cast("double").alias("total"))
-    return g.crossJoin(F.broadcast(total)).select(key, (F.lit(100.0) * F.col("amount") / F.nullif("total", F.lit(0.0))).alias("share"))  # one row
+    total = tx.exact_sum("amount", over=W.partitionBy())  # over a row per key
+    return g.select(key, (F.lit(100.0) * F.col("amount") / F.nullif(total, F.lit(0.0))).alias("share"))
 
 
 def change_scores(monthly: DataFrame, share: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,7 +39,7 @@ def change_scores(monthly: DataFrame, share: DataFrame, keys: list[str]) -> Data
     before = F.lag("month").over(w)
     next_month = F.date_format(F.add_months(F.to_date(before, "yyyyMM"), 1), "yyyyMM")
     rows = monthly.withColumn("prior_weight", prior).withColumn("adjacent", next_month == F.col("month"))
-    rows = rows.join(F.broadcast(share), "code", "left")  # a row per commodity code, some dozens
+    rows = rows.join(share, "code", "left")  # AQE broadcasts it while it is small
     pct = F.when(F.col("prior_weight") > 0, F.lit(100.0) * (F.col("weight") - F.col("prior_weight")) / F.col("prior_weight")).otherwise(F.lit(0.0))
     s = F.coalesce("share", F.lit(0.0))
     score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.lit(0.5) * pct + F.lit(0.3) * s + F.lit(0.2) * F.least(F.lit(50.0), F.col("weight") / 1000.0)))
@@ -85,6 +85,6 @@ def endpoints(prices: DataFrame, key: str, time: str, tie: str, value: str, look
     at = lambda rn: F.max(F.when(F.col("rn") == rn, F.col(value)))
     g = rows.groupBy(key).agg(
         F.max("n").alias("n_obs"), at(F.col("n")).alias("first_value"), at(1).alias("last_value"), at(F.least(F.lit(lookback), F.col("n"))).alias("lookback_value"),
-        F.sum(F.when(F.col("rn") <= recent, F.col(value).cast("decimal(18,6)"))).cast("double").alias("s"), F.least(F.max("n"), F.lit(recent)).alias("k"),
+        tx.exact_sum(F.when(F.col("rn") <= recent, F.col(value))).alias("s"), F.least(F.max("n"), F.lit(recent)).alias("k"),
     )
     return g.select(key, "n_obs", "first_value", "last_value", "lookback_value", (F.col("s") / F.col("k")).alias("recent_mean"))

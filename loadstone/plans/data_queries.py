@@ -45,13 +45,17 @@ def p5_key_results(spark: SparkSession, d: str) -> DataFrame:
     return hk.per_key_results(table(spark, d, "all_events"))
 
 
+def p5_modes(spark: SparkSession, d: str) -> DataFrame:
+    return hk.key_modes(table(spark, d, "all_events"), "dst_id", "src_id")
+
+
 def p5_weight_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return hk.weighted_percentiles(table(spark, d, "all_events"), "dst_id", "weight")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_features, p1_type_stats, p2_found, p2_rejects, p2_loaded_inspections, p2_loaded_lines, p5_found, p5_key_results, p5_weight_percentiles)
+    for f in (p1_features, p1_type_stats, p2_found, p2_rejects, p2_loaded_inspections, p2_loaded_lines, p5_found, p5_key_results, p5_modes, p5_weight_percentiles)
 }
 
 _PERIOD = r"""CASE WHEN regexp_full_match(trim(event_time), '[12]\d{3}') THEN CAST(trim(event_time) AS INT) * 1000 + 120
@@ -84,7 +88,25 @@ _LINE_CHECK = f"""SELECT row_id, CASE
     ELSE NOT regexp_full_match(line, '{_layout(6)}') OR (SELECT {_BAD_ORG.replace('"Organization No."', 'x')} FROM (SELECT {_value(6, 1)} AS x)) END AS bad
   FROM raw_lines"""
 
+_KEPT = f"""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY source_mtime DESC NULLS LAST, weight DESC NULLS LAST, edge_type DESC NULLS LAST,
+                               src_id DESC NULLS LAST, event_time DESC NULLS LAST) AS rn
+  FROM all_events),
+kept AS (SELECT src_id, edge_type, CASE WHEN NOT isnan(weight) THEN weight END AS weight, {_PERIOD} AS period FROM ranked WHERE event_id IS NULL OR rn = 1)"""
+_LABEL = "CASE WHEN @ % 10 = 1 THEN CAST(@ // 10 AS VARCHAR) ELSE CAST(@ // 1000 AS VARCHAR) END"
+
 ORACLE = {
+    "p1_features": f"""
+WITH {_KEPT},
+stats AS (SELECT src_id, edge_type, count(*) AS n, max(period) AS p, sum(CAST(weight AS DECIMAL(18,6))) AS w FROM kept GROUP BY ALL),
+types AS (SELECT DISTINCT edge_type AS t FROM all_events),
+entities AS (SELECT src_id, sum(n) AS n_events, count(*) AS n_types, max(p) AS p, sum(w) AS w FROM stats GROUP BY src_id),
+wide AS (
+  SELECT e.src_id, list(t ORDER BY t NULLS LAST) AS edge_types, list(coalesce(s.n, 0) ORDER BY t NULLS LAST) AS counts,
+    list({_LABEL.replace('@', 's.p')} ORDER BY t NULLS LAST) AS latest_periods, list(coalesce(CAST(s.w AS DOUBLE), 0) ORDER BY t NULLS LAST) AS total_weights
+  FROM entities e CROSS JOIN types LEFT JOIN stats s ON s.src_id IS NOT DISTINCT FROM e.src_id AND s.edge_type IS NOT DISTINCT FROM t GROUP BY e.src_id)
+SELECT w.*, CAST(e.n_events AS BIGINT) AS n_events, e.n_types, {_LABEL.replace('@', 'e.p')} AS latest_period, coalesce(CAST(e.w AS DOUBLE), 0) AS total_weight
+FROM wide w JOIN entities e ON w.src_id IS NOT DISTINCT FROM e.src_id""",
     "p1_type_stats": f"""
 WITH ranked AS (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY source_mtime DESC NULLS LAST, weight DESC NULLS LAST, edge_type DESC NULLS LAST,
@@ -111,6 +133,9 @@ WITH p AS (SELECT dst_id AS l, src_id AS r, count(*) AS n, sum(CAST(CASE WHEN NO
 SELECT 'dst_id' AS key_column, l AS key_value, CAST(sum(n) AS BIGINT) AS n_rows, coalesce(CAST(sum(w) AS DOUBLE), 0) AS total_weight, count(r) AS n_partners,
   max(CASE WHEN r IS NOT NULL THEN n END) AS mode_rows FROM p GROUP BY l
 UNION ALL SELECT 'src_id', r, CAST(sum(n) AS BIGINT), coalesce(CAST(sum(w) AS DOUBLE), 0), count(l), max(CASE WHEN l IS NOT NULL THEN n END) FROM p GROUP BY r""",
+    "p5_modes": """
+SELECT key_value, mode, n FROM (SELECT dst_id AS key_value, src_id AS mode, count(*) AS n, row_number() OVER (PARTITION BY dst_id ORDER BY count(*) DESC, src_id) AS rn
+  FROM all_events WHERE src_id IS NOT NULL GROUP BY dst_id, src_id) WHERE rn = 1""",
     "p5_weight_percentiles": """
 WITH c AS (SELECT dst_id AS key_value, weight AS v, row_number() OVER (PARTITION BY dst_id ORDER BY weight) AS rn, count(*) OVER (PARTITION BY dst_id) AS n_values
   FROM all_events WHERE weight IS NOT NULL AND NOT isnan(weight))

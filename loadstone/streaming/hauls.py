@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loadstone.functions.text import exact_sum
+
 
 def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type", window: str = "1 day", late: str = "7 days") -> DataFrame:
     """Rows and summed value per tumbling window and key; rows later than the watermark are dropped by the stream, as asked.
@@ -12,8 +14,8 @@ def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type"
     Works on a stream or a table; sums are decimals, so both agree.
     """
     rows = events.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", late) if events.isStreaming else events.withColumn("__t", F.col(time).cast("timestamp"))
-    g = rows.groupBy(F.window("__t", window).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).alias("s"))
-    return g.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), key, "n", F.col("s").cast("double").alias("total"))
+    g = rows.groupBy(F.window("__t", window).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), exact_sum("value").alias("total"))
+    return g.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), key, "n", "total")
 
 
 def run_available(spark: SparkSession, path: str, out: str, checkpoint: str) -> None:

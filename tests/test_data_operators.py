@@ -2,14 +2,17 @@
 
 import datetime as dt
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from loadstone.functions.periods import period_code, period_text
+from loadstone.functions.text import exact_sum
 from loadstone.operators import entity_features as ef
 from loadstone.operators import heavy_keys as hk
 from loadstone.operators import rejects as rj
+from loadstone.operators import temporal as tm
 
 EVENTS = "event_id string, edge_type string, src_id string, event_time string, weight double, source_mtime bigint, n int, latest string, t string, i int"
 
@@ -50,13 +53,26 @@ def test_features_empty_and_bound(spark):
     assert fixed["counts"] == [1, 1] and fixed["n_events"] == 5
 
 
-def test_features_do_not_depend_on_salts(spark):
+def test_features_do_not_depend_on_salts(spark, monkeypatch):
+    monkeypatch.setattr(ef, "HEAVY", 100)
     rows = [event(f"e{k}", f"t{k % 3}", f"s{k % 2}", f"2024{k % 12 + 1:02}", k / 7) for k in range(500)]
     df = spark.createDataFrame(rows, EVENTS)
     one, many = (sorted(map(str, ef.entity_features(df, salts=s).collect())) for s in (1, 50))
     assert one == many
 
 
+def test_sums_keep_large_numbers(spark):
+    numbers = [("a", 1e12), ("a", 5.0), ("b", 1e22), ("b", 1.5), ("c", math.inf), ("c", 1.0), ("d", math.nan), ("d", 2.5), ("e", None), ("e", math.nan), ("f", 1e308), ("f", 1e308)]
+    df = spark.createDataFrame(numbers, "k string, v double")
+    got = dict(df.groupBy("k").agg(exact_sum("v")).collect())
+    assert got == {"a": 1e12 + 5, "b": 1e22 + 1.5, "c": math.inf, "d": 2.5, "e": None, "f": math.inf}
+    rows = [event(str(i), "haul", k, "202401", v) for i, (k, v) in enumerate(numbers)]
+    features = {r["src_id"]: r["total_weight"] for r in ef.entity_features(spark.createDataFrame(rows, EVENTS)).collect()}
+    assert features == {k: v or 0.0 for k, v in got.items()}
+    shares = {r["k"]: r["share"] for r in tm.shares(df.filter("k IN ('a', 'b')"), "k", "v").collect()}
+    assert math.isclose(sum(shares.values()), 100)
+
+
 def lines(*texts, feed="inspection"):
     return [(k, feed, t) for k, t in enumerate(texts)]
 
@@ -114,6 +130,18 @@ def test_heavy_keys(spark):
     assert hk.heavy_keys(df.limit(0)).collect() == [] and hk.per_key_results(df.limit(0)).collect() == []
 
 
+def test_key_results_make_pairs_once(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/all_events.parquet") if Path("/root/testdata/sf0.001").exists() else spark.range(9).selectExpr("id AS dst_id", "id AS src_id", "1.0D AS weight")
+    plan = hk.per_key_results(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_modes(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "q"), ("b", "p"), ("b", None), ("c", None), (None, "z")], "k string, v string").withColumn("n", F.lit(0)).withColumn("key_value", F.lit(0))
+    assert {tuple(r) for r in hk.key_modes(df, "k", "v").collect()} == {("a", "x", 2), ("b", "p", 1), (None, "z", 1)}
+    assert hk.key_modes(df.limit(0), "k", "v").collect() == []
+
+
 def test_percentiles(spark):
     values = [5.0] * 100 + [-1.0, 0.0, 7.5, 1e9, math.nan, None]
     df = spark.createDataFrame([("a", v) for v in values] + [(None, 2.0), ("n", None)], "k string, v double")
