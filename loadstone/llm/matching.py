@@ -304,13 +304,16 @@ def calibration(counts: list[tuple[str, int, int, int]], prior: float = 4.0) ->
 
     counts: kind, bin, pairs with both places, pairs that agree. Matches agree at some rate p, other pairs at the rate q of
     chance, so of pairs that agree at rate r a part of (r - q) / (p - q) are matches. q is the rate of the kind "none"
-    (no name in common), p that of the kind "same" (names and lines agree). Rates rise with the cosine (isotonic). `prior`
+    (no name in common), p that of the nearer half of the kind "same" (names and lines agree). Rates rise with the cosine (isotonic). `prior`
     pairs of usual rates are added to each kind, for tables with few pairs.
     """
     total = lambda kind: (sum(n for k, _, n, _ in counts if k == kind), sum(h for k, _, _, h in counts if k == kind))
     n, h = total("none")
     q = (h + 0.03 * 50) / (n + 50)
-    n, h = total("same")
+    whole, n, h = total("same")[0], 0, 0
+    for _, more, hits in sorted(((b, n, h) for k, b, n, h in counts if k == "same"), reverse=True):
+        if 2 * n < whole:
+            n, h = n + more, h + hits
     p = max((h + 0.5 * 20) / (n + 20), q + 0.05)
     usual = {"same": p, "open": (p + q) / 2, "other": q, "none": q}
     out = {}

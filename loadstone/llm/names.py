@@ -131,7 +131,7 @@ def _fuzzy_short() -> Fuzzy:
 def later_class(word: str) -> tuple[str, str]:
     """word_class() for a word behind a long core: misspelt short words and two words in one are known too."""
     found = word_class(word)
-    if found[0] or len(word) < 4:
+    if found[0] or len(word) < 4 or word in PLACE_FIRST:
         return found
     near = _fuzzy_short().find(word)
     if near is None and len(word) >= 7:
@@ -164,6 +164,8 @@ def word_class(word: str) -> tuple[str, str]:
         return "noise", word
     if word == "PROD":
         return "prod", word
+    if word in PLACE_FIRST:
+        return "", word
     plain = word.translate(LOOKALIKES)
     if plain != word and not word.isdigit():
         return word_class(plain)
@@ -248,7 +250,7 @@ def _person(tokens: list[str]) -> Name | None:
         surname = before + after
         if not before and len(after) > 1 and len(after[0]) == 1:
             initial, surname = after[0], after[1:]
-    if len("".join(surname)) < 5:
+    if len("".join(surname)) < 4:
         return None
     return Name("person", [fold("".join(surname))], given=names, initial=initial, suffix=suffix)
 
@@ -264,8 +266,8 @@ def parse(text: str | None, learned: dict[str, str] | None = None) -> Name:
     while tokens and tokens[0] in NOISE:
         tokens = tokens[1:]
     learned = learned or {}
-    # a first word is taken for a listed one only if it is spelt like it: it is mostly part of the core
-    classes = [("business", learned[t]) if t in learned else word_class(t) if i or listed(t) else ("", t) for i, t in enumerate(tokens)]
+    # a first word is mostly part of the core: it is taken for a listed one if it is spelt like it or a listed one follows
+    classes = [("business", learned[t]) if t in learned else word_class(t) if i or listed(t) or listed("".join(tokens[1:2])) else ("", t) for i, t in enumerate(tokens)]
     known = {"business", "trade", "legal", "prod"}
     exact = [c[0] in known for c in classes]
     if not any(exact) or (any(t in SUFFIXES for t in tokens) and not any(c[0] == "business" for c in classes)):
@@ -290,6 +292,10 @@ def parse(text: str | None, learned: dict[str, str] | None = None) -> Name:
     else:
         length, cut = 0, len(tokens)
         for i, t in enumerate(tokens):
+            # a short core ends where nothing but listed words and numbers follows
+            if i and length >= 3 and not t.isdigit() and all(listed(x) or x in learned or x.isdigit() for x in tokens[i:]):
+                cut = i
+                break
             if i and length >= 8 and (classes[i][0] or later_class(t)[0] or (t in PLACE_FIRST and len(t) > 1 and i + 1 < len(tokens))):
                 cut = i
                 break
@@ -302,7 +308,7 @@ def parse(text: str | None, learned: dict[str, str] | None = None) -> Name:
         if any(w.startswith(tail) for w in (*BUSINESS, *TRADE, *LEGAL)) and len(tail) < 9:
             core, partial = core[:-1], tail
     core = [t for t in core if not t.isdigit()]
-    if not core or len("".join(core)) < 4:
+    if not core or len("".join(core)) < 3:
         core = [t for t in tokens if t not in NOISE] or tokens
     business = next((c for k, c in described if k == "business"), None)
     trades = [c for k, c in described if k == "trade"]
