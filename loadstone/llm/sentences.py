@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from loadstone.llm import spans
+from loadstone.llm.starters import Learned, learn
 
 # --- fixed values: word lists -----------------------------------------------------------------------------------------
 
 #: Abbreviations that never end a sentence.
 NEVER = """IN C.F.R Mr Mrs Ms Mx Dr Prof Sgt Capt Lt Col Gen Maj Cpl Gov Rep Sen Rev Hon Pres Supt Insp Messrs St Ste Ft Mt SGT CAPT LT MR MS DR ST FT MT
-C.F.R i.e e.g cf ca approx vs v viz al. insp med wt rt lt lft ADJ REF VIOL deg Temp temp min max para Sec Fig Figs Hwy Rte Lvl lvl eff est dept Dept Fa
+C.F.R i.e e.g cf ca approx vs v viz al. insp med wt rt lt lft Adj adj ADJ REF VIOL deg Temp temp min max para Sec Fig Figs Hwy Rte Lvl lvl eff est dept Dept Fa
 Sr Sra Srta Dra Dr Av Avda aprox pág págs art EE bât env ex Mme Mlle vgl Abs bzw Nr Str evtl ggf geb Hr Fr inkl exkl zzgl
 ул инж См см рис стр гл пр просп пер им акад проф тел обл ср напр κ π.χ αρ βλ σελ κα د أ م डॉ रु सं श्री प्रो""".split()
 #: Abbreviations that don't end a sentence if a number follows.
@@ -37,18 +38,15 @@ Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec JAN FEB MAR APR JUN JUL AUG SEP
 MAYBE = """Inc Ltd Corp Co LLC Bros INC LTD CORP CO Jr JR SR etc ETC al a.m p.m A.M P.M am pm hrs hr HRS lbs lb LBS LB oz gal bu in ft yd mi sq cu t
 UU mil bil dz doz pct Ph.D M.D B.A M.A Esq dept Mon Tue Tues Wed Thu Thur Thurs Fri Sat Sun usw Std Mio Mrd Tsd Ud Uds Jh
 ч т г руб коп млн млрд тыс кг кв.м др пр κ.λπ κλπ κ.ά ώ รศ น""".split()
-#: Names that contain an end mark.
-NAMES_WITH_MARKS = ("Haul It", "Yahoo", "Jeopardy", "Yum", "Which", "Jeopardy", "Westward Ho")
+#: Names that contain an end mark; further ones are learned from the corpus (starters.py), as are words that begin sentences.
+NAMES_WITH_MARKS = ("Yahoo", "Jeopardy", "Yum", "Which", "Westward Ho", "OK", "Mamma Mia", "Moulin Rouge")
 #: Words that begin sentences; they tell an abbreviation or initial that ends a sentence from one within a name.
 STARTERS = """The A An This That These Those It He She They We I You His Her Their Its Our My One Two Three Four Five Six Seven Eight Nine Ten
 In On At By For From With Without To Of Under Over After Before During Since Until While When Where Why Who What Which How If Although Though Because As
 And But Or So Yet Nor Not No Nobody Nothing None Some Any All Most Many Several Few Each Every Both Other Others Another Such There Here Then Now Today
 Yesterday Tomorrow Did Do Does Is Are Was Were Has Have Had Can Could May Might Will Would Should Shall Must Mr Mrs Ms Dr Sgt Capt Lt Gov Rep Prof
-Dispatch Rates Prices Crews Diesel Exports Imports Inspectors Analysts Shipments Stops Questions Delivery Tanks Freight Weekly Revenue Version Unit Car
-Only According Per Temp Terminal Twas Log Logs Driver Carrier Shipper See Cargo Tire Tarp Police Officials Traffic Trucks Trains Shares Sales Costs
+Only According Per See Twas
 Der Die Das Ein Eine Wir Ich Sie Es Er Im Am Laut Herr Frau Bitte Le La Les Un Une Il Elle Nous Selon El Los Las Una Según Se No Nadie""".split()
-#: Words in lower case that begin a remark.
-LOW_STARTERS = "cargo tire tarp unit".split()
 #: Capitalised words that go on after a time or an abbreviation.
 GOING_ON = """KG KGaA Terminal Plant Division Group Holdings Building Monday Tuesday Wednesday Thursday Friday Saturday Sunday EST EDT CST CDT MST MDT PST PDT UTC GMT Eastern Central Mountain Pacific
 Uhr Euro""".split()
@@ -235,17 +233,22 @@ _ITEM = re.compile(r"(?m)^[^\S\n]*(?:[-*•‣▪◦●·–]|\(?\d{1,3}[.)]|\(?
 _LOG = re.compile(r"(?m)^[^\S\n]*(?:\[?(?:\d{4}-\d\d-\d\d[ T])?[0-2]?\d:[0-5]\d(?::[0-5]\d)?\]?|[0-2]\d[0-5]\d)[^\S\n]+(?=\S)")
 _HEADING = re.compile(rf"(?m)^[^\S\n]*(?:{'|'.join(HEADINGS.split())})\s+[\dIVXLC]+(?:\.\d+)*(\.)")
 _DATE = re.compile(r"\d{4}(\.)\s{1,3}\d{1,2}(\.)\s{1,3}\d{1,2}(\.)(?=\s)")
-_NAMED = re.compile("|".join(rf"\b{n.replace(' ', chr(92) + 's+')}([!?])(?=\s)" for n in dict.fromkeys(NAMES_WITH_MARKS)))
 
 
-@lru_cache(1)
-def _lexicon() -> dict[str, np.ndarray]:
-    lists = {"NEVER": NEVER, "BEFORE_NUMBER": BEFORE_NUMBER, "MAYBE": MAYBE, "STARTERS": STARTERS, "LOW_STARTERS": LOW_STARTERS, "GOING_ON": GOING_ON, "BEFORE_ORDINAL": BEFORE_ORDINAL}
+@lru_cache(8)
+def _named(learned: Learned) -> re.Pattern:
+    names = dict.fromkeys((*NAMES_WITH_MARKS, *learned.names))
+    return re.compile("|".join(rf"\b{re.escape(n).replace(chr(92) + ' ', chr(92) + 's+')}([!?])(?=\s)" for n in names))
+
+
+@lru_cache(8)
+def _lexicon(learned: Learned) -> dict[str, np.ndarray]:
+    lists = {"NEVER": NEVER, "BEFORE_NUMBER": BEFORE_NUMBER, "MAYBE": MAYBE, "STARTERS": [*STARTERS, *learned.starters], "LOW_STARTERS": [*learned.low_starters, ""], "GOING_ON": GOING_ON, "BEFORE_ORDINAL": BEFORE_ORDINAL}
     return {k: np.sort(np.array([spans.word_hash(w) for w in dict.fromkeys(v)], np.uint64)) for k, v in lists.items()}
 
 
-def _in(hashes: np.ndarray, name: str) -> np.ndarray:
-    table = _lexicon()[name]
+def _in(hashes: np.ndarray, name: str, learned: Learned = Learned()) -> np.ndarray:
+    table = _lexicon(learned)[name]
     return table[np.minimum(np.searchsorted(table, hashes), len(table) - 1)] == hashes
 
 
@@ -268,7 +271,7 @@ _PLAIN = {
 _SYMBOL_OF_KIND = np.array([S[_PLAIN.get(k, k if k in S else "NONE")] for k in K], np.uint8)
 
 
-def unit_spans(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit_spans(points: np.ndarray, rows: np.ndarray, learned: Learned = Learned()) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every sentence unit in the code points of several texts; `rows` has the texts' offsets.
 
     Each text ends with a line feed.
@@ -332,7 +335,7 @@ def unit_spans(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
 
     # marks that end nothing by their form
     dead = np.zeros(n, bool)
-    for pattern in (_HEADING, _DATE, _NAMED):
+    for pattern in (_HEADING, _DATE, _named(learned)):
         for m in pattern.finditer(plain):
             dead[[m.start(i) for i in range(1, m.re.groups + 1) if m.start(i) >= 0]] = True
 
@@ -449,10 +452,10 @@ def unit_spans(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
         h = spans.span_hashes(points, heads, np.maximum(ends, heads))
         up = symbol[heads] == S["UP"]
         initial = (ends - heads == 1) & (kind[np.minimum(ends, n - 1)] == K["DOT"])
-        symbol[heads[up & ~initial & _in(h, "STARTERS")]] = S["STARTER"]
+        symbol[heads[up & ~initial & _in(h, "STARTERS", learned)]] = S["STARTER"]
         symbol[heads[up & _in(h, "GOING_ON")]] = S["GOES_ON"]
         camel = ~up & (after[heads] == K["UP"])
-        symbol[heads[camel | (~up & _in(h, "LOW_STARTERS"))]] = S["LOW_STARTER"]
+        symbol[heads[camel | (~up & _in(h, "LOW_STARTERS", learned))]] = S["LOW_STARTER"]
 
     at = np.flatnonzero(keep)
     resets = np.searchsorted(at, forced)
@@ -470,13 +473,15 @@ def upper_first(kind: np.ndarray, start: np.ndarray) -> np.ndarray:
     return kind[np.minimum(start, len(kind) - 1)] == K["UP"]
 
 
-def sentence_units(df: DataFrame, text: str = "text", start: str = "start_char", end: str = "end_char") -> DataFrame:
+def sentence_units(df: DataFrame, text: str = "text", start: str = "start_char", end: str = "end_char", learned: Learned | None = None) -> DataFrame:
     """One row per sentence unit: the other columns of `df`, start and end as code-point positions (end exclusive).
 
     Units cover all of a text but white space and have none at their ends. Null, empty and blank texts and an empty table
     give no rows. A text of any length is worked on whole; repeated rows give repeated units. A column named as `start` or
-    `end` raises ValueError. No shuffle.
+    `end` raises ValueError. Words that begin sentences and names that hold a mark are learned from all texts first, unless
+    `learned` gives them; the texts themselves aren't shuffled.
     """
+    learned = learn(df, text) if learned is None else learned
     kept = [f for f in df.schema.fields if f.name != text]
     if {start, end} & {f.name for f in kept}:
         raise ValueError(f"the input already has a column {start} or {end}")
@@ -489,7 +494,7 @@ def sentence_units(df: DataFrame, text: str = "text", start: str = "start_char",
             for a, _, data, offsets in spans.slices(batch.column(place)):
                 points, _, rows = spans.code_points(data, offsets)
                 points, rows = np.insert(points, rows[1:], 10), rows + np.arange(len(rows))  # a line ends with its text
-                starts, ends = unit_spans(points, rows)
+                starts, ends = unit_spans(points, rows, learned)
                 row = np.searchsorted(rows, starts, "right") - 1
                 columns = [batch.column(i).take(pa.array(row + a)) for i in rest]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(starts - rows[row]), pa.array(ends - rows[row])], names=schema.names)

@@ -93,3 +93,20 @@ def test_spark_rows(spark):
     assert got.filter("doc_id = 5").count() == 30_000 and se.sentence_units(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         se.sentence_units(df.withColumnRenamed("doc_id", "end_char"))
+
+
+def test_learned_starters_and_names(spark):
+    from loadstone.llm.starters import Learned, learn
+
+    rows = [(i, f"They waited there. Wagons left at {i} hrs. Wagons of Go Now! Traders came. We waited. tarp was torn. Then all ended. And many Others came.") for i in range(60)] + [(None, None), (1, ""), (2, "x" * 10_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = learn(df)
+    assert "Wagons" in got.starters and "Others" not in got.starters and got.low_starters == ("tarp",) and got.names == ("Go Now",)
+    one = spark.createDataFrame([(1, "It left at 5 hrs. Wagons of Go Now! Traders came.")], "doc_id bigint, text string")
+    cut = lambda learned: [r["start_char"] for r in se.sentence_units(one, learned=learned).collect()]
+    assert cut(got) == [0, 18] and cut(Learned()) == [0, 18, 36]
+    assert learn(df.limit(0)) == Learned()
+
+
+def test_unlisted_forms():
+    assert units("He works at OK! Magazine in Boston.") == [["He works at OK! Magazine in Boston."]] and units("Adj. wt. was 5 oz.") == [["Adj. wt. was 5 oz."]]
