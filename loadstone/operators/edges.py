@@ -17,14 +17,14 @@ def inspections(raw: DataFrame) -> DataFrame:
 
     Unreadable numbers and dates are null. Column names are matched without case by Spark, so extra columns are let go.
     """
-    shipper = tx.name_norm(F.col("SHIPPER_NAME"))
-    return raw.select(
-        "row_id", F.col("INSPECTION_ID").alias("inspection_id"), dot_number(F.col("DOT_NUMBER")).alias("dot"), compact_date(F.col("INSP_DATE")).alias("insp_date"),
-        shipper.alias("shipper"), F.coalesce("COUNTY_CODE_STATE", F.lit("UNK")).alias("state"), F.col("CARGO_TANK").alias("tank"), F.col("HAZMAT_PLACARD_REQ").alias("hazmat"),
-        F.col("INSP_CARRIER_NAME").alias("carrier"), F.col("OOS_TOTAL").alias("oos"), F.col("VIOL_TOTAL").alias("viol"),
-        tx.commodity_code(F.col("HAZMAT_PLACARD_REQ"), F.col("CARGO_TANK"), shipper).alias("code"),
-        tx.commodity_confidence(F.col("HAZMAT_PLACARD_REQ"), F.col("CARGO_TANK"), shipper).alias("confidence"),
-    ).withColumn("month", F.date_format("insp_date", "yyyyMM"))
+    # the normalised name is read many times below: a projection of its own computes it once a row
+    rows = raw.select(
+        "row_id", F.col("INSPECTION_ID").alias("inspection_id"), dot_number(F.col("DOT_NUMBER")).alias("dot"), compact_date(F.col("INSP_DATE")).alias("insp_date"), tx.name_norm(F.col("SHIPPER_NAME")).alias("shipper"),
+        F.coalesce("COUNTY_CODE_STATE", F.lit("UNK")).alias("state"), F.col("CARGO_TANK").alias("tank"), F.col("HAZMAT_PLACARD_REQ").alias("hazmat"), F.col("INSP_CARRIER_NAME").alias("carrier"),
+        F.col("OOS_TOTAL").alias("oos"), F.col("VIOL_TOTAL").alias("viol"),
+    )
+    facts = (F.col("hazmat"), F.col("tank"), F.col("shipper"))
+    return rows.select("*", tx.commodity_code(*facts).alias("code"), tx.commodity_confidence(*facts).alias("confidence"), F.date_format("insp_date", "yyyyMM").alias("month"))
 
 
 def monthly_hauls(insp: DataFrame, from_month: str, min_stops: int = 2) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loadstone.functions import text as tx
 from loadstone.operators.edges import contained_names
+from loadstone.session import materialize
 
 # The commodity classes of a carrier's cargo by code.
 LANE_OF_CODE = {"17": "petroleum_chem", "18": "hazmat", "02": "grain_feed", "19": "coal_coke", "11": "metal_sheet"}
@@ -21,11 +22,13 @@ def lane(code: Column) -> Column:
 
 
 def registry(insp: DataFrame) -> DataFrame:
-    """One row per carrier: its most frequent name (ties: the least), rows and distinct states, so joins don't fan out."""
-    named = insp.filter(F.col("dot").isNotNull()).groupBy("dot", "carrier").agg(F.count(F.lit(1)).alias("n"))
-    best = named.filter(F.col("carrier").isNotNull()).groupBy("dot").agg(F.max("n").alias("n"))
-    name = named.join(best, ["dot", "n"]).groupBy("dot").agg(F.min("carrier").alias("legal_name"))
-    sizes = insp.filter(F.col("dot").isNotNull()).groupBy("dot").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("state").alias("n_states"))
+    """One row per carrier: its most frequent name (ties: the least), rows and distinct states, so joins don't fan out.
+
+    The inspections are read once, into counts by carrier, name and state."""
+    seen = materialize(insp.filter(F.col("dot").isNotNull()).groupBy("dot", "carrier", "state").agg(F.count(F.lit(1)).alias("n")))
+    named = seen.filter(F.col("carrier").isNotNull()).groupBy("dot", "carrier").agg(F.sum("n").alias("n"))
+    name = named.groupBy("dot").agg(F.min_by("carrier", F.struct(-F.col("n"), F.col("carrier"))).alias("legal_name"))
+    sizes = seen.groupBy("dot").agg(F.sum("n").alias("n_rows"), F.count_distinct("state").alias("n_states"))
     return sizes.join(name, "dot", "left")
 
 
@@ -80,8 +83,8 @@ def truck_signals(insp: DataFrame, least: int = 3) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("carrier").alias("carrier"), F.max("insp_date").cast("string").alias("last_date"), F.sum(hazmat).alias("hazmat_stops"),
         F.sum(F.coalesce("oos", F.lit(0))).alias("oos"), F.sum(F.coalesce("viol", F.lit(0))).alias("violations"),
     ).filter(F.col("n") >= least)
-    largest = g.agg(F.max("n").alias("largest"))
-    g = g.crossJoin(F.broadcast(largest))  # one row
+    g = materialize(g)
+    g = g.withColumn("largest", F.lit(g.agg(F.max("n")).first()[0]))
     recency = F.when(F.col("last_date") >= "2026-01-01", 1.0).when(F.col("last_date") >= "2025-01-01", 0.7).otherwise(0.4)
     placard = F.when(F.col("hazmat_stops") > 0, 1.15).otherwise(1.0)
     trust = F.when(F.col("confidence") == "strong", 1.2).when(F.col("confidence") == "medium", 1.0).otherwise(0.8)

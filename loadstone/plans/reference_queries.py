@@ -13,7 +13,7 @@ from loadstone.operators import macro as mc
 from loadstone.operators import quality as ql
 from loadstone.operators import temporal as tm
 from loadstone.operators import ties as ti
-from loadstone.session import table
+from loadstone.session import materialize, table
 from loadstone.streaming import hauls as st
 
 FROM_MONTH = "202201"
@@ -28,16 +28,22 @@ def _monthly(spark: SparkSession, d: str) -> DataFrame:
     return ed.monthly_hauls(_insp(spark, d), FROM_MONTH)
 
 
-def _flows(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as modelled flows: origin and destination nation, code of the part, mode, year, tons and value."""
-    line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+def _flows(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Line items as modelled flows with tons, value, mode and year; of origin and destination nation and the code of the
+    part what `columns` name, so a report joins only what it needs. Every line item has its part, supplier and order."""
     nation = table(spark, d, "nation")
-    origin = table(spark, d, "supplier").join(F.broadcast(nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("origin"))), "s_nationkey").select("s_suppkey", "origin")  # nation: 25 rows
-    dest = table(spark, d, "customer").join(F.broadcast(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("destination"))), "c_nationkey").select("c_custkey", "destination")
-    part = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("code"))
-    rows = line.join(part, line["l_partkey"] == part["p_partkey"]).join(origin, line["l_suppkey"] == origin["s_suppkey"])
-    rows = rows.join(orders.select("o_orderkey", "o_custkey"), rows["l_orderkey"] == F.col("o_orderkey")).join(dest, F.col("o_custkey") == dest["c_custkey"])
-    return rows.select("origin", "destination", "code", F.col("l_returnflag").alias("mode"), F.year("l_shipdate").alias("year"), F.col("l_quantity").alias("tons"), F.col("l_extendedprice").alias("value"))
+    rows = table(spark, d, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_orderkey", F.col("l_returnflag").alias("mode"), F.year("l_shipdate").alias("year"), F.col("l_quantity").alias("tons"), F.col("l_extendedprice").alias("value")
+    )
+    named = lambda key, name: F.broadcast(nation.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(name)))  # noqa: E731  25 rows
+    if "code" in columns:
+        rows = rows.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("code")), "l_partkey")
+    if "origin" in columns:
+        rows = rows.join(table(spark, d, "supplier").join(named("s_nationkey", "origin"), "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"), "origin"), "l_suppkey")
+    if "destination" in columns:
+        buyers = table(spark, d, "customer").join(named("c_nationkey", "destination"), "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "destination")
+        rows = rows.join(table(spark, d, "orders").join(buyers, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), "destination"), "l_orderkey")
+    return rows.select(*columns, "mode", "year", "tons", "value")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -60,11 +66,11 @@ def haul_edges_state(spark, d):
 
 
 def macro_modeled_flow(spark, d):
-    return ed.flow_edges(_flows(spark, d).filter("year = 1997"), "1997").select("event_id", "src_id", "dst_id", "weight", "attrs_json")
+    return ed.flow_edges(_flows(spark, d, "origin", "destination", "code").filter("year = 1997"), "1997").select("event_id", "src_id", "dst_id", "weight", "attrs_json")
 
 
 def macro_shipment_share(spark, d):
-    rows = _flows(spark, d).select("code", F.col("tons").alias("weight"), F.col("value").alias("factor"))
+    rows = _flows(spark, d, "code").select("code", F.col("tons").alias("weight"), F.col("value").alias("factor"))
     return ed.share_edges(rows, "1997").select("event_id", "src_id", "weight")
 
 
@@ -79,7 +85,7 @@ def licence_edges(spark, d):
 
 
 def edges_union_by_type(spark, d):
-    m = _monthly(spark, d)
+    m = materialize(_monthly(spark, d))  # read three times
     every = ed.union_edges(ed.haul_edges(m), ed.commodity_edges(m), ed.state_edges(m), ed.licence_edges(table(spark, d, "fmc_licences"), "2026"))
     return gr.type_summary(every)
 
@@ -241,11 +247,11 @@ def freight_by_mode(spark, d):
 
 
 def freight_corridors(spark, d):
-    return mc.top(_flows(spark, d), ["origin", "destination"], "tons", 20)
+    return mc.top(_flows(spark, d, "origin", "destination"), ["origin", "destination"], "tons", 20)
 
 
 def freight_commodities(spark, d):
-    return mc.top(_flows(spark, d), ["code"], "tons", 15)
+    return mc.top(_flows(spark, d, "code"), ["code"], "tons", 15)
 
 
 def freight_yoy(spark, d):
@@ -253,16 +259,16 @@ def freight_yoy(spark, d):
 
 
 def moving_commodity(spark, d):
-    flows = _flows(spark, d)
+    flows = _flows(spark, d, "code")
     return mc.blended(mc.by_key_with_share(flows, "code", "tons"), mc.by_key_with_share(flows.filter("value > 50000"), "code", "value"), "code", (0.6, 0.4))
 
 
 def commodity_top_corridors(spark, d):
-    return mc.top_per_group(_flows(spark, d), "code", ["origin", "destination"], "tons", 3)
+    return mc.top_per_group(_flows(spark, d, "origin", "destination", "code"), "code", ["origin", "destination"], "tons", 3)
 
 
 def top_commodity_modes(spark, d):
-    flows = _flows(spark, d)
+    flows = _flows(spark, d, "code")
     largest = mc.top(flows, ["code"], "tons", 3).select("code")
     return flows.join(F.broadcast(largest), "code", "left_semi").groupBy("code", "mode").agg(tx.exact_sum("tons", 4).alias("tons"))  # at most 3 rows
 
