@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loadstone.functions import text as tx
@@ -107,6 +108,68 @@ def licence_edges(licences: DataFrame, year: str) -> DataFrame:
         tx.json_object(name=F.col("`Legal Name`"), kind=F.col("license_kind")), tx.key_hash("maritime_license", number, F.col("row_id"))))
 
 
+def trade_edges(imports: DataFrame) -> DataFrame:
+    """Commodity to nation from import records (hs, month, weight): the latest month's weight by commodity code.
+
+    The latest month, one value, is known from the sums by month and code, so the records are read once.
+    """
+    g = imports.filter(F.col("month").isNotNull()).groupBy("month", tx.hs_code(F.col("hs")).alias("code")).agg(tx.exact_sum("weight").alias("weight"))
+    latest = g.withColumn("newest", F.max("month").over(W.partitionBy())).filter(F.col("month") == F.col("newest"))  # over a row per month and code
+    return latest.select(*edge("trade_import", "commodity", F.col("code"), "national", F.lit("US"), F.col("month"), "month", F.col("weight"), F.lit("strong"), "import_sum", "trade_records",
+        tx.json_object(sctg2=F.col("code")), tx.key_hash("trade_import", F.col("code"), F.col("month"))))
+
+
+def bilateral_trade_edges(records: DataFrame) -> DataFrame:
+    """Country to commodity from trade records (country, hs, month, value), summed by month."""
+    g = records.filter(F.col("month").isNotNull() & F.col("country").isNotNull()).groupBy("country", "month", tx.hs_code(F.col("hs")).alias("code")).agg(tx.exact_sum("value").alias("weight"))
+    return g.select(*edge("trade_import.bilateral", "country", F.col("country"), "commodity", F.col("code"), F.col("month"), "month", F.col("weight"), F.lit("strong"), "trade_sum", "trade_records",
+        tx.json_object(sctg2=F.col("code")), tx.key_hash("trade_bilateral", F.col("country"), F.col("code"), F.col("month"))))
+
+
+def pressure_edges(points: DataFrame, edge_type: str, src_type: str, code: str) -> DataFrame:
+    """Series to commodity from points (series, period, value): one edge per point with a value; repeated points, the largest."""
+    g = points.filter(F.col("value").isNotNull() & F.col("series").isNotNull() & F.col("period").isNotNull()).groupBy("series", "period").agg(F.max("value").alias("value"))
+    grain = F.when(F.length("event_time") == 4, "year").otherwise("month")
+    columns = edge(edge_type, src_type, F.col("series"), "commodity", F.lit(code), F.col("period"), "month", F.col("value"), F.lit("strong"), "series_point", "energy_series", tx.json_object(series=F.col("series")), tx.key_hash(edge_type, F.col("series"), F.col("period")))
+    return g.select(*columns).withColumn("event_grain", grain)
+
+
+def rail_edges(metrics: DataFrame, year: str) -> DataFrame:
+    """Rail operator to nation from metrics (operator, measure, value, place): the first value of a measure wins, by place."""
+    g = metrics.filter(F.col("value").isNotNull() & F.col("operator").isNotNull()).groupBy("operator", "measure").agg(F.min_by("value", F.struct("place", "value")).alias("value"))
+    return g.select(*edge("rail_metric", "rail_operator", F.col("operator"), "national", F.lit("US"), F.lit(year), "year", F.col("value"), F.lit("strong"), "annual_metric", "rail_annual",
+        tx.json_object(measure=F.col("measure")), tx.key_hash("rail_metric", F.col("operator"), F.col("measure"), F.lit(year))))
+
+
+def dwell_edges(performance: DataFrame) -> DataFrame:
+    """Rail operator to nation from weekly performance (operator, measure, period, value): the measures that tell a dwell."""
+    rows = performance.filter(F.col("measure").ilike("%dwell%") & F.col("value").isNotNull())
+    return rows.select(*edge("rail_metric.dwell", "rail_operator", F.col("operator"), "national", F.lit("US"), F.col("period"), "week", F.col("value"), F.lit("strong"), "weekly_performance", "rail_performance",
+        tx.json_object(measure=F.col("measure")), tx.key_hash("rail_dwell", F.col("operator"), F.col("measure"), F.col("period"), F.col("value"))))
+
+
+def pipeline_edges(miles: DataFrame, year: str) -> DataFrame:
+    """State to nation from pipeline mileage rows (state, miles) of all files, summed."""
+    g = miles.filter((F.length("state") == 2) & (F.col("miles") > 0)).groupBy("state").agg(tx.exact_sum("miles").alias("miles"))
+    return g.select(*edge("pipeline_signal", "state", F.col("state"), "national", F.lit("US"), F.lit(year), "year", F.col("miles"), F.lit("strong"), "mileage_sum", "pipeline_mileage",
+        tx.json_object(state=F.col("state")), tx.key_hash("pipeline_signal", F.col("state"), F.lit(year))))
+
+
+def identity_edges(shippers: DataFrame, titles: DataFrame) -> DataFrame:
+    """Shipper to ticker where the whole title occurs in the shipper's name or equals its core (shipper, n; title, ticker).
+
+    Equal cores are exact with a weight up to 100 by n; contained titles, of eight letters or more, blocked_fuzzy with 40.
+    """
+    a, b = shippers.select("shipper", "n"), titles.select("title", "ticker").filter(F.col("ticker").isNotNull())
+    core = a.withColumn("core", tx.name_core(F.col("shipper"))).filter("core <> ''").join(b.withColumn("core", tx.name_core(F.col("title"))).select("core", "ticker").distinct(), "core")
+    exact = core.select("shipper", "ticker", F.least(F.lit(100.0), F.lit(50.0) + F.col("n") / 20.0).alias("weight"), F.lit("exact").alias("confidence"))
+    found = contained_names(a.select(F.col("shipper").alias("l")), b.select(F.col("title").alias("s"))).join(b, F.col("short") == F.col("title"))
+    fuzzy = found.select(F.col("long").alias("shipper"), "ticker", F.lit(40.0).alias("weight"), F.lit("blocked_fuzzy").alias("confidence"))
+    best = exact.unionByName(fuzzy).groupBy("shipper", "ticker").agg(F.max("weight").alias("weight"), F.min(F.when(F.col("confidence") == "exact", 0).otherwise(1)).alias("c"))
+    return best.select(*edge("identity_match", "shipper", F.col("shipper"), "ticker", F.col("ticker"), F.lit("snapshot"), "snapshot", F.col("weight"), F.when(F.col("c") == 0, "exact").otherwise("blocked_fuzzy"), "name_match", "listed_companies",
+        tx.json_object(ticker=F.col("ticker")), tx.key_hash("identity_match", F.col("shipper"), F.col("ticker"))))
+
+
 def union_edges(*parts: DataFrame) -> DataFrame:
     """All edges in one table, by name."""
     return reduce(DataFrame.unionByName, parts)
