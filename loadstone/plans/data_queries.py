@@ -34,7 +34,7 @@ def p2_loaded_inspections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_loaded_lines(spark: SparkSession, d: str) -> DataFrame:
-    return rj.load_lines(table(spark, d, "raw_lines"), "inspection").drop("received_at")
+    return rj.load_lines(table(spark, d, "raw_lines"), "inspection").drop("received_at").withColumn("INSP_DATE", F.col("INSP_DATE").cast("string"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +81,15 @@ def _value(layout: int, i: int) -> str:
     return _STRIP.replace("@", f"CASE WHEN {raw} LIKE '\"%' THEN replace(substr({raw}, 2, length({raw}) - 2), '\"\"', '\"') ELSE {raw} END")
 
 
+def _typed(i: int, name: str) -> str:
+    other = "(?:" + _FIELD[1:]
+    raw = f"regexp_extract(line, '(?s)^{','.join(_FIELD if k == i else other for k in range(1, 14))}$', 1)"
+    value = "nullif(" + _STRIP.replace("@", f"CASE WHEN {raw} LIKE '\"%' THEN replace(substr({raw}, 2, length({raw}) - 2), '\"\"', '\"') ELSE {raw} END") + ", '')"
+    if name == "INSP_DATE":
+        return f"CAST(CAST(try_strptime({value}, '%Y%m%d') AS DATE) AS VARCHAR) AS {name}"
+    return f'TRY_CAST({value} AS {"BIGINT" if name == "DOT_NUMBER" else "INT"}) AS {name}' if name in ("DOT_NUMBER", "GROSS_COMB_VEH_WT", "OOS_TOTAL", "VIOL_TOTAL") else f"{value} AS {name}"
+
+
 _LINE_CHECK = f"""SELECT row_id, CASE
     WHEN line IS NULL OR feed IS NULL OR feed NOT IN ('inspection', 'licence') THEN true
     WHEN feed = 'inspection' THEN NOT regexp_full_match(line, '{_layout(13)}') OR
@@ -124,6 +133,9 @@ UNION ALL SELECT 'fmc_licences', row_id FROM fmc_licences WHERE {_BAD_ORG}""",
     "p2_loaded_inspections": f"""
 SELECT row_id, INSPECTION_ID, TRY_CAST(nullif({_DOT}, '') AS BIGINT) AS DOT_NUMBER, CAST(CAST(try_strptime({_DATE}, '%Y%m%d') AS DATE) AS VARCHAR) AS INSP_DATE, SHIPPER_NAME, VIOL_TOTAL
 FROM fmcsa_events WHERE NOT coalesce({_BAD_DOT}, false) AND NOT coalesce({_BAD_DATE}, false)""",
+    "p2_loaded_lines": "SELECT row_id, batch, "
+    + ", ".join(_typed(i, c) for i, c in enumerate(rj.LAYOUTS["inspection"], 1))
+    + f" FROM raw_lines JOIN ({_LINE_CHECK}) c USING (row_id) WHERE feed = 'inspection' AND NOT coalesce(bad, false)",
     "p5_found": """
 SELECT 'dst_id' AS key_column, dst_id AS key_value FROM all_events WHERE dst_id IS NOT NULL GROUP BY dst_id
 HAVING count(*) >= 0.01 * (SELECT count(*) FROM all_events)

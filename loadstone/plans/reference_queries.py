@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from loadstone.operators import macro as mc
 from loadstone.operators import quality as ql
 from loadstone.operators import temporal as tm
 from loadstone.operators import ties as ti
-from loadstone.session import materialize, table
+from loadstone.session import ensure_checkpoint_dir, materialize, table
 from loadstone.streaming import hauls as st
 
 FROM_MONTH = "202201"
@@ -472,17 +474,10 @@ def windowed_event_totals(spark, d):
 
 def stream_event_totals(spark, d):
     """The same totals by a stream over the table's file, all available input taken once."""
-    import tempfile
-    import uuid
-
-    from loadstone.session import ensure_checkpoint_dir
-
-    name = f"totals_{uuid.uuid4().hex[:8]}"
-    base = ensure_checkpoint_dir(spark) or tempfile.mkdtemp()
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{d}/events.parquet"
     source = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", True).parquet(path)
-    st.stateful_totals(source, f"{base}/{name}", name, late="3650 days")
-    return spark.table(name)
+    return st.stateful_totals(source, f"{base}/out", f"{base}/checkpoint")
 
 
 QUERIES = {

@@ -238,5 +238,7 @@ EXCEPT SELECT src_id FROM all_events WHERE {BASE} = 'hauls_commodity'""",
     "incremental_changed": """WITH r AS (SELECT row_id, "Organization No." AS number, md5("Legal Name") AS signature, loaded_at FROM fmc_licences)
 SELECT row_id, number, signature FROM r WHERE loaded_at >= TIMESTAMP '2024-01-01' AND NOT EXISTS (SELECT 1 FROM r o WHERE o.loaded_at < TIMESTAMP '2024-01-01' AND o.number = r.number AND o.signature = r.signature)""",
     "windowed_event_totals": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM events GROUP BY ALL",
+    "hash_features": """WITH n AS (SELECT DISTINCT node_type || ':' || node_id AS node FROM (SELECT src_type AS node_type, src_id AS node_id FROM all_events UNION ALL SELECT dst_type, dst_id FROM all_events) WHERE node_type IS NOT NULL AND node_id IS NOT NULL)
+SELECT node, list_transform(range(32), lambda i: sin((CAST('0x' || substr(sha256(node), CAST(2 * i + 1 AS INT), 2) AS INT) + 1) * (i + 1) * 0.13::DOUBLE)) AS features FROM n""",
 }
 ORACLE["stream_event_totals"] = ORACLE["windowed_event_totals"]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 from io import BytesIO
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,16 +21,24 @@ def strings(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def sniff_delimiter(path: str, sample: int = 65_536) -> str:
-    """The likeliest of comma, tab, pipe and semicolon in the head of a file: the one that most often splits its lines evenly."""
-    head = Path(path).open("rb").read(sample).decode("utf-8", "replace").splitlines()[:50]
+def head_lines(path: str, n: int = 50) -> list[str]:
+    """The first lines of a file or folder on any file system that Spark reads."""
+    spark = SparkSession.active()
+    return [r[0] for r in spark.read.text(path).head(n)]
+
+
+def sniff_delimiter(path: str) -> str:
+    """The likeliest of comma, tab, pipe and semicolon in the head of a file: the one that most often splits its lines evenly,
+    outside of quotes."""
+    head = [re.sub(r'"[^"]*"', "", line) for line in head_lines(path)]
     score = {d: min((line.count(d) for line in head if line), default=0) * 1000 + sum(line.count(d) for line in head) for d in (",", "\t", "|", ";")}
     return max(score, key=score.get)
 
 
 def header(path: str, delimiter: str) -> list[str]:
-    """Column names of the first line; blank names become col_i, repeated ones get their place."""
-    names = [c.strip().strip('"') for c in Path(path).open(encoding="utf-8", errors="replace").readline().rstrip("\r\n").split(delimiter)]
+    """Column names of the first line, quoted ones too; blank names become col_i, repeated ones get their place."""
+    first = head_lines(path, 1)
+    names = [c.strip() for c in next(csv.reader(first, delimiter=delimiter), [])]
     seen: set[str] = set()
     out = []
     for i, c in enumerate(names):
@@ -52,6 +61,20 @@ def read_inferred(spark: SparkSession, path: str, delimiter: str | None = None)
     return spark.read.csv(path, header=True, inferSchema=True, sep=delimiter or sniff_delimiter(path), quote='"', escape='"', multiLine=True)
 
 
+def read_typed(spark: SparkSession, path: str) -> DataFrame:
+    """A delimited file with inferred types; if any record doesn't fit them, all of it as strings.
+
+    The file is read once to infer and once to try, so that what is returned can't fail later.
+    """
+    delimiter = sniff_delimiter(path)
+    typed = spark.read.csv(path, header=True, inferSchema=True, sep=delimiter, quote='"', escape='"', multiLine=True, mode="FAILFAST")
+    try:
+        typed.write.format("noop").mode("overwrite").save()
+    except Exception:  # noqa: BLE001  whatever doesn't read as typed reads as text
+        return read_delimited(spark, path, delimiter=delimiter)
+    return typed
+
+
 def read_many(spark: SparkSession, paths: list[str], **options) -> DataFrame:  # noqa: ANN003
     """Several delimited files of differing columns in one table, by name."""
     return union_all([read_delimited(spark, p, **options) for p in paths])
@@ -81,6 +104,15 @@ def read_json_records(spark: SparkSession, path: str, value_schema: str) -> Data
     return maps.unionByName(lists)
 
 
+def read_json_values(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON document that is a list of bare values, or one bare value: a row each, as text in the column `value`."""
+    text = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    rows = spark.read.text(path, wholetext=True).select(text.alias("t"))
+    bare = F.transform(F.from_json("t", "array<string>"), lambda x: x)
+    one = F.when(F.col("t").rlike('^".*"$'), F.from_json(F.concat(F.lit("["), F.col("t"), F.lit("]")), "array<string>")).otherwise(F.array("t"))
+    return rows.select(F.explode(F.when(F.col("t").startswith("["), bare).otherwise(one)).alias("value"))
+
+
 def read_series(spark: SparkSession, path: str, series: str | None = None) -> DataFrame:
     """Energy-series JSON lines: series_id, name, units, period, value, place (1 is the newest point)."""
     j = F.from_json("value", "series_id string, name string, units string, data array<array<string>>")
@@ -178,11 +210,15 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "sheet string, row int, text string, numbers array<double>")
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a path with size, time, format and content signature of those up to 500 MB."""
+def inventory(spark: SparkSession, path: str, most: int = 500 << 20) -> DataFrame:
+    """Files below a path with size, time, format and release; the signature is that of the content up to `most` bytes, of
+    larger ones of size and time. The content of larger files isn't read: the scan filters by length."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    signature = F.when(F.col("length") <= 500 << 20, F.md5("content")).otherwise(F.concat_ws("-", F.col("length"), F.unix_timestamp("modificationTime")))
-    return files.select("path", "length", "modificationTime", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("format"), signature.alias("signature"), F.regexp_extract("path", r"release=(\d{4}-\d{2}-\d{2})", 1).alias("release"))
+    columns = ["path", "length", "modificationTime", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("format")]
+    release = F.regexp_extract("path", r"release=(\d{4}-\d{2}-\d{2})", 1).alias("release")
+    small = files.filter(F.col("length") <= most).select(*columns, F.md5("content").alias("signature"), release)
+    large = files.filter(F.col("length") > most).select(*columns, F.concat_ws("-", F.col("length"), F.unix_timestamp("modificationTime")).alias("signature"), release)
+    return small.unionByName(large)
 
 
 def ranked_candidates(files: DataFrame, family: str = "family") -> DataFrame:

@@ -6,7 +6,8 @@ import json
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,21 @@ def write_parquet(df: DataFrame, path: str, partition: list[str] | None = None,
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
+def write_signed(df: DataFrame, path: str, signature: str) -> None:
+    """write_parquet() with the signature of its source beside it, in a folder that readers of the table don't see."""
+    write_parquet(df, path)
+    rows = df.sparkSession.createDataFrame([(signature, len(df.columns))], "signature string, columns int")
+    rows.coalesce(1).write.mode("overwrite").json(f"{path}/_source")
+
+
+def is_current(spark: SparkSession, path: str, signature: str) -> bool:
+    """Whether the table at `path` was written from a source of this signature; a missing table isn't."""
+    try:
+        return [r["signature"] for r in spark.read.schema("signature string").json(f"{path}/_source").collect()] == [signature]  # one row
+    except AnalysisException:
+        return False
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """One CSV file in a fixed column order; nested values as JSON text. For reports of bounded size."""
     nested = (T.ArrayType, T.StructType, T.MapType)

@@ -218,4 +218,76 @@ def test_incremental_stream(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
     df.write.mode("append").parquet(src)
     st.run_available(spark, src, out, ck)
+    assert sorted(map(tuple, st.window_totals(spark, out).collect())) == [("2024-01-01", "a", 2, 3.0), ("2024-01-02", "a", 2, 4.0)]  # one row a window
     assert spark.read.parquet(out).count() == 4 and spark.read.parquet(src).schema.simpleString() == f"struct<{schema.replace(', ', ',').replace(' ', ':')}>"
+
+
+def test_stream_drops_late_rows(spark, tmp_path):
+    def add(*rows):
+        df = spark.createDataFrame(list(rows), "t string, event_type string, value double").select(F.col("t").cast("timestamp_ntz").alias("ts"), "event_type", "value")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+
+    def run():
+        source = spark.readStream.schema("ts timestamp_ntz, event_type string, value double").parquet(str(tmp_path / "src"))
+        return sorted(map(tuple, st.stateful_totals(source, str(tmp_path / "out"), str(tmp_path / "ck"), late="2 days").collect()))
+
+    add(("2024-01-10 10:00:00", "a", 1.0), ("2024-01-01 10:00:00", "a", 5.0))
+    assert run() == [("2024-01-01", "a", 1, 5.0), ("2024-01-10", "a", 1, 1.0)]
+    add(("2024-01-10 11:00:00", "a", 2.0), ("2024-01-01 11:00:00", "a", 7.0))  # the second is nine days late
+    assert run() == [("2024-01-01", "a", 1, 5.0), ("2024-01-10", "a", 2, 3.0)]
+
+
+def test_typed_values_and_signatures(spark, tmp_path):
+    from loadstone.sources import readers as rd
+
+    (tmp_path / "a.csv").write_text('k;"x;y"\n1;2.5\n2;3.5\n')
+    assert rd.sniff_delimiter(str(tmp_path / "a.csv")) == ";" and rd.header(str(tmp_path / "a.csv"), ";") == ["k", "x;y"]
+    assert dict(rd.read_typed(spark, str(tmp_path / "a.csv")).dtypes) == {"k": "int", "x;y": "double"}
+    (tmp_path / "b.csv").write_text("k,v\n1,2\n2,3,4\n")
+    assert [tuple(r) for r in rd.read_typed(spark, str(tmp_path / "b.csv")).collect()] == [("1", "2"), ("2", "3")]
+    for text, want in (('[1, "b", null]', ["1", "b", None]), ("42", ["42"]), ('"one"', ["one"]), ("[]", [])):
+        (tmp_path / "v.json").write_text(text)
+        assert [r[0] for r in rd.read_json_values(spark, str(tmp_path / "v.json")).collect()] == want
+    files = {r["format"]: r["signature"] for r in rd.inventory(spark, str(tmp_path / "*.json"), most=1).collect()}
+    assert files["json"].startswith("2-")
+    sinks.write_signed(spark.range(3), str(tmp_path / "t"), "s1")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+    assert sinks.is_current(spark, str(tmp_path / "t"), "s1") and not sinks.is_current(spark, str(tmp_path / "t"), "s2") and not sinks.is_current(spark, str(tmp_path / "none"), "s1")
+
+
+def test_registers(spark):
+    from loadstone.operators import economy as ec
+    from loadstone.operators import registers as rg
+
+    day = lambda x: F.lit(x).cast("timestamp")
+    rows = spark.createDataFrame([(False, "2026-06-01", 10), (False, "2026-06-30", 10), (True, "2026-06-30", 0), (None, None, 5), (False, None, 5), (False, "2020-01-01", 0)], "bad boolean, t string, days int")
+    age = rg.age_days(F.col("t"), day("2026-07-01"))
+    assert [r[0] for r in rows.select(rg.needs_refresh(F.col("bad"), age, F.col("days"))).collect()] == [True, False, True, True, True, False]
+    assert spark.range(1).select(rg.months_before(F.lit("2026-01-15").cast("date"), 3)).first()[0] == ["202512", "202511", "202510"]
+    numbers = spark.createDataFrame([(2.5,), (-2.5,), (1e300,), (float("nan"),), (None,)], "x double")
+    assert [r[0] for r in numbers.select(rg.rounded(F.col("x"))).collect()][:2] == [3, -3]
+    lists = spark.createDataFrame([(["b", "a", None], ["a", "b", "b"]), (None, ["a"]), ([], [])], "a array<string>, b array<string>")
+    assert [r[0] for r in lists.select(ec.overlap(F.col("a"), F.col("b"))).collect()] == [["a", "b"], [], []]
+    flags = spark.createDataFrame([("X", "X"), (None, "X"), ("", "")], "metal string, coal string")
+    assert [tuple(r) for r in flags.select(ec.lane_of_flags({c: F.col(c) for c in flags.columns}), ec.lane_of_flags({c: F.col(c) for c in flags.columns}, False)).collect()] == [("metal_sheet", "coal_coke"), ("coal_coke", "coal_coke"), ("unknown", "unknown")]
+
+
+def test_absorb_replaces_a_release(spark, tmp_path):
+    from loadstone.operators import registers as rg
+
+    path = str(tmp_path / "dated")
+    first = spark.createDataFrame([(1, "2026-01"), (2, "2026-02")], "k int, r string")
+    rg.absorb(first, path, F.col("r"))
+    rg.absorb(spark.createDataFrame([(9, "2026-02")], "k int, r string"), path, F.col("r"))
+    assert sorted((r["k"], str(r["release"])) for r in spark.read.parquet(path).collect()) == [(1, "2026-01"), (9, "2026-02")]
+
+
+def test_edge_kinds_on_empty_and_null_rows(spark):
+    imports = spark.createDataFrame([("2701", None, 1.0), ("2701", "202401", 2.0), ("2701", "202402", 3.0), (None, "202402", None)], "hs string, month string, weight double")
+    assert sorted((r["src_id"], r["event_time"], r["weight"]) for r in ed.trade_edges(imports).collect()) == [("19", "202402", 3.0), ("31", "202402", None)]
+    rail = spark.createDataFrame([("R", "m", 2.0, 2), ("R", "m", 1.0, 1), (None, "m", 1.0, 1), ("R", "n", None, 1)], "operator string, measure string, value double, place int")
+    assert [r["weight"] for r in ed.rail_edges(rail, "2025").collect()] == [1.0]
+    assert ed.trade_edges(imports.limit(0)).collect() == [] and ed.rail_edges(rail.limit(0), "2025").collect() == []
+    names = spark.createDataFrame([("ACME STEEL INC", 100), ("THE ACME STEEL INC PLANT", 5), (None, 1)], "shipper string, n bigint")
+    titles = spark.createDataFrame([("ACME STEEL INC", "AC"), (None, "NN"), ("ACME STEEL", None)], "title string, ticker string")
+    assert sorted((r["src_id"], r["confidence"], r["weight"]) for r in ed.identity_edges(names, titles).collect()) == [("ACME STEEL INC", "exact", 55.0), ("THE ACME STEEL INC PLANT", "blocked_fuzzy", 40.0)]
