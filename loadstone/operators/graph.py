@@ -51,6 +51,17 @@ def evidence_edges(events: DataFrame, code: str, limit: int = 500) -> DataFrame:
     return kept.orderBy(F.col("weight").desc_nulls_last(), "event_id").limit(limit)
 
 
+def evidence_subgraph(events: DataFrame, code: str, limit: int = 500) -> DataFrame:
+    """The heaviest edges that tell of a commodity, a top-k report: hauls, carriers' cargo, pressures and imports that name
+    the code in their attributes or by its node, and every identity edge of a shipper; ties by id and time. Rows, not ids, are
+    taken: a re-sent event comes as often as it is there.
+    """
+    kind, named = base_type(), F.get_json_object("attrs_json", "$.sctg2") == code
+    at = ((kind == "hauls_commodity") & (F.col("dst_id") == code)) | ((kind == "trade_import") & (F.col("dst_id") == code)) | ((kind == "commodity_pressure") & (F.col("src_id") == code))
+    rows = events.filter((kind.isin("observed_haul", "hauls_commodity", "commodity_pressure", "trade_import") & (F.coalesce(named, F.lit(False)) | at)) | ((kind == "identity_match") & (F.col("src_type") == "shipper")))
+    return rows.orderBy(F.col("weight").desc_nulls_last(), F.col("event_id").asc_nulls_last(), F.col("source_mtime").asc_nulls_last(), F.col("event_time").asc_nulls_last()).limit(limit)
+
+
 def subsample(events: DataFrame, month: str, types: tuple[str, ...], limit: int, per_type: int) -> DataFrame:
     """A staged sample of edges, a sampling operator with quotas: the month's edges first, then `per_type` of each listed
     type, then other months'; heaviest first, one row per key of six columns, each in its earliest stage.

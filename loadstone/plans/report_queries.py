@@ -149,6 +149,21 @@ def graph_query(spark, d):
     return ec.code_answer(rq._events(spark, d), _scores(spark, d), _scores(spark, d, True), _picked(spark, d), "17", origin="origin_pressure")
 
 
+def evidence_pack_edges(spark, d):
+    return gr.evidence_subgraph(rq._events(spark, d), "17").select("event_id", "edge_type", "src_id", "dst_id", "event_time", "weight")
+
+
+def price_endpoints_long(spark, d):
+    """The operator's own windows: looked back 63 values, mean of the last 20."""
+    return tm.endpoints(table(spark, d, "events"), "user_id", "ts", "event_id", "value")
+
+
+def return_band_long(spark, d):
+    """Returns of series of 20 observations or more that began at 1 or more, within the band."""
+    ret = F.lit(100.0) * (F.col("last_value") - F.col("first_value")) / F.nullif("first_value", F.lit(0.0))
+    return price_endpoints_long(spark, d).withColumn("ret", ret).filter((F.col("n_obs") >= 20) & (F.col("first_value") >= 1) & F.col("ret").between(-50, 150)).select("user_id", "n_obs", "ret")
+
+
 def trend_radar(spark, d):
     return ec.trend_rows(rq._events(spark, d), _scores(spark, d), _picked(spark, d))
 
@@ -289,7 +304,7 @@ def describe_table(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        edges_trade, edges_bilateral_trade, edges_commodity_pressure, edges_origin_pressure, edges_rail_annual, edges_rail_dwell, edges_pipeline, edges_identity, identity_by_core, identity_within_titles, graph_build, linear_pipeline, graph_query, trend_radar,
+        edges_trade, edges_bilateral_trade, edges_commodity_pressure, edges_origin_pressure, edges_rail_annual, edges_rail_dwell, edges_pipeline, edges_identity, identity_by_core, identity_within_titles, graph_build, linear_pipeline, graph_query, evidence_pack_edges, price_endpoints_long, return_band_long, trend_radar,
         reproduction_query, transport_economy, commodity_economy, truck_signal_whole, code_labels, ticker_overlap, rounding_casts, licence_ages, gap_register, missing_categories, daily_absorb, source_csv, source_json_lines,
         source_fixed_width, source_series, sink_parquet, sink_copy, describe_table,
     )
@@ -333,6 +348,8 @@ _FLAGS = "CASE {0} WHEN grain THEN 'grain_feed' WHEN liqgas OR chem THEN 'petrol
 _MISSING = """SELECT '{0}' AS category, {1} AS priority, count(*) AS expected, count(*) FILTER (there IS NULL) AS missing, min(CASE WHEN there IS NULL THEN id END) AS first_missing
 FROM (SELECT DISTINCT {2} AS id FROM {3}) LEFT JOIN (SELECT DISTINCT {4} AS there FROM all_events WHERE {5} AND {4} IS NOT NULL) ON id = there WHERE id IS NOT NULL"""
 
+_LONG = rs._ENDPOINTS.replace("least(5, n)", "least(63, n)").replace("rn <= 3", "rn <= 20").replace("least(max(n), 3)", "least(max(n), 20)")
+
 ORACLE = {
     "edges_trade": f"""WITH r AS (SELECT {_PART} AS code, strftime(l_shipdate, '%Y%m') AS month, CASE WHEN floor(l_extendedprice) >= 1000 THEN floor(l_extendedprice) ELSE 1 END AS w FROM lineitem)
 SELECT md5('trade_import|' || code || '|' || month) AS event_id, 'trade_import' AS edge_type, code AS src_id, 'US' AS dst_id, month AS event_time, CAST(sum(w) AS DOUBLE) AS weight FROM r WHERE month = (SELECT max(month) FROM r) GROUP BY code, month""",
@@ -361,6 +378,11 @@ UNION ALL SELECT * FROM (SELECT 'carriers', CAST(row_number() OVER (ORDER BY w D
   WHERE {rs.BASE} = 'observed_haul' AND event_time = picked.month AND {rs._J.format("sctg2")} = '17' GROUP BY dst_id)) WHERE r <= 5
 UNION ALL SELECT 'origin', 1, c, CAST(count(*) AS DOUBLE) FROM (SELECT src_id, CASE WHEN max(CAST(event_time = picked.month AS INT)) = 1 THEN 'aligned' WHEN max(CAST(substr(event_time, 1, 4) = substr(picked.month, 1, 4) AS INT)) = 1 THEN 'diverge'
   ELSE 'none_in_window' END AS c FROM all_events, picked WHERE {rs.BASE} = 'origin_pressure' AND regexp_full_match(event_time, '[0-9]{{6}}') AND src_id IS NOT NULL GROUP BY src_id) GROUP BY c""",
+    "evidence_pack_edges": f"""SELECT event_id, edge_type, src_id, dst_id, event_time, weight FROM all_events WHERE ({rs.BASE} IN ('observed_haul', 'hauls_commodity', 'commodity_pressure', 'trade_import') AND (coalesce({rs._J.format("sctg2")} = '17', false)
+  OR ({rs.BASE} IN ('hauls_commodity', 'trade_import') AND dst_id = '17') OR ({rs.BASE} = 'commodity_pressure' AND src_id = '17'))) OR ({rs.BASE} = 'identity_match' AND src_type = 'shipper')
+ORDER BY weight DESC NULLS LAST, event_id ASC NULLS LAST, source_mtime ASC NULLS LAST, event_time ASC NULLS LAST LIMIT 500""",
+    "price_endpoints_long": f"WITH {_LONG} SELECT * FROM ends",
+    "return_band_long": f"""WITH {_LONG} SELECT user_id, n_obs, ret FROM (SELECT *, 100.0::DOUBLE * (last_value - first_value) / nullif(first_value, 0) AS ret FROM ends) WHERE n_obs >= 20 AND first_value >= 1 AND ret BETWEEN -50 AND 150""",
     "trend_radar": rs._scores("national").rstrip() + f""", {_PICK}, t AS (SELECT s.* FROM scores s, picked WHERE snapshot_month = picked.month ORDER BY change_score DESC NULLS LAST, code LIMIT 50), h AS ({_STATS})
 SELECT {_TREND} FROM t LEFT JOIN h USING (code)""",
     "reproduction_query": rs._scores("national") + f""", h AS (SELECT {rs._J.format("sctg2")} AS code, {rs._J.format("state")} AS state, {_s("weight")} AS w, count(DISTINCT src_id) AS shippers, count(DISTINCT dst_id) AS carriers FROM all_events WHERE {rs.BASE} = 'observed_haul' GROUP BY 1, 2)
