@@ -250,9 +250,15 @@ def worker_encoder(key: str, shared) -> Encoder:  # noqa: ANN001
     return _encoders[key]
 
 
+@lru_cache(1)
+def _default() -> Vocabulary:
+    """The default vocabulary with its hash, built once a process."""
+    return Vocabulary.load()
+
+
 def share(df: DataFrame, vocabulary: Vocabulary | None = None) -> Callable[[], Encoder]:
     """Send a vocabulary to the executors; its size is that of the public file, whatever the corpus."""
-    vocabulary = vocabulary or Vocabulary.load()
+    vocabulary = vocabulary or _default()
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     return partial(worker_encoder, vocabulary.key, shared)
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from loadstone.llm import bpe
 
 CAPACITY = 2048
-#: Items that are packed together; more items make more groups. The loss is below one container a group.
-GROUP_ITEMS = 50_000
+#: Items that are packed together, in one task; more items make more groups. The loss is below one container a group.
+GROUP_ITEMS = 12_500
 #: Fillings looked at for one container before the search goes on with those so far.
 FILLINGS = 400
 #: Fillings looked at for one group before the best packing so far is taken.
