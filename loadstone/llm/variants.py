@@ -116,7 +116,7 @@ def core_families(parsed: DataFrame, k: int = DISTANCE) -> DataFrame:
     index = keyed.select("kind", F.col("keys")[0].alias("owner"), F.explode(F.slice("keys", F.lit(1), F.when(F.col("words") > 2, 2).otherwise(1))).alias("s")).distinct()
     links = segment_join(index.select("kind", "s"), every.select("kind", "s"), k)
     links = links.join(every.select("kind", F.col("s").alias("b"), "first"), ["kind", "b"]).join(index.select("kind", F.col("s").alias("a"), "owner"), ["kind", "a"])
-    node = lambda c: F.concat_ws("|", "kind", c)
+    node = lambda c: F.xxhash64("kind", c)
     found = connected_components(links.filter(F.col("owner") != F.col("first")).select(node("owner").alias("a"), node("first").alias("b")))
     named = firsts.select("kind", F.col("s").alias("key"), node("s").alias("node"))
     return named.join(found, "node", "left").select("kind", "key", F.coalesce("component", "node").alias("family"))
@@ -181,7 +181,7 @@ def spelling_groups(
     learned = lexicon.learned_lines(names_df, name, city) if learned is None else learned
     rows = names_df.select(F.col(id).alias("row"), F.col(name).alias("name"), column(state).alias("state"), column(city).alias("city"), column(goods).alias("goods"))
     rows = rows.withColumn("goods", F.when(F.col("goods") != "31", F.col("goods")))  # 31 is the general class
-    rows = rows.filter(F.col("name").isNotNull()).withColumn("id", F.concat_ws("|", F.col("row").cast("string"), F.xxhash64("name", "state", "city").cast("string")))
+    rows = rows.filter(F.col("name").isNotNull()).withColumn("id", F.xxhash64("row", "name", "state", "city"))
     parsed = materialize(parse_names(rows, "name", learned).filter(F.col("kind") != "").withColumn("key", F.col("keys")[0]))
     families = core_families(parsed, k)
     located = materialize(parsed.join(families, ["kind", "key"]))
@@ -192,7 +192,7 @@ def spelling_groups(
     # a remnant that fits no known line may be of another word
     orgs = resolve(located.filter(F.col("kind") == "org"), ["family"], "business", fits, EVIDENCE, otherwise=F.col("partial").isNotNull())
     known = orgs.groupBy("family").agg(F.count("business").alias("known"))
-    orgs = orgs.join(known, "family").withColumn("part", F.when(F.col("business").isNotNull(), F.col("business")).when(F.col("known") == 0, F.lit("")).otherwise(F.concat(F.lit("?"), F.col("id"))))
+    orgs = orgs.join(known, "family").withColumn("part", F.when(F.col("business").isNotNull(), F.col("business")).when(F.col("known") == 0, F.lit("")).otherwise(F.concat(F.lit("?"), F.col("id").cast("string"))))
     orgs = orgs.select("row", "kind", F.concat_ws("|", "family", "part").alias("label"), "business", *more)
 
     people = located.filter(F.col("kind") == "person").withColumn("only", F.when(F.size("given") == 1, F.col("given")[0]))
