@@ -149,14 +149,18 @@ def message_pass(edges: DataFrame, features: DataFrame, hops: int = 1, dim: int
     state, made = features, []
     if hops > 1:
         both = materialize(both)
-    hubs = both.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / HUB_PIECE).cast("int").alias("pieces")).filter("pieces > 1")
-    if hops > 1:
-        hubs = materialize(hubs)
-        made = [both, hubs]
-    spread = both.join(hubs, "other", "left").withColumn("piece", F.pmod(F.xxhash64("node"), F.coalesce("pieces", F.lit(1)))).drop("pieces")
+        made.append(both)
+    hubs = materialize(both.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / HUB_PIECE).cast("bigint").alias("pieces")).filter("pieces > 1"))
+    made.append(hubs)
+    has_hubs = not hubs.isEmpty()
+    if has_hubs:
+        both = both.join(hubs, "other", "left").withColumn("piece", F.pmod(F.xxhash64("node"), F.coalesce("pieces", F.lit(1).cast("bigint")))).drop("pieces")
     for _ in range(hops):
-        copies = state.withColumnRenamed("node", "other").join(hubs, "other", "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("pieces", F.lit(1)).cast("bigint") - 1))).drop("pieces")
-        met = spread.join(copies, ["other", "piece"])
+        copies, on = state.withColumnRenamed("node", "other"), ["other"]
+        if has_hubs:
+            last_piece = F.coalesce("pieces", F.lit(1).cast("bigint")) - 1
+            copies, on = copies.join(hubs, "other", "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last_piece))).drop("pieces"), ["other", "piece"]
+        met = both.join(copies, on)
         sums = met.groupBy("node").agg(F.sum("times").alias("deg"), *[F.sum(F.col("embedding")[i] * F.col("times")).alias(f"s{i}") for i in range(dim)])
         mean = [F.greatest(F.col(f"s{i}") / F.col("deg"), F.lit(0.0)) for i in range(dim)]
         last, state = state, sums.select("node", F.array(*mean).alias("embedding"))
@@ -167,7 +171,8 @@ def message_pass(edges: DataFrame, features: DataFrame, hops: int = 1, dim: int
             state = materialize(state)
             if last is not features:
                 discard(last)
-    discard(*made)
+    if hops > 1:
+        discard(*made)
     return state
 
 

@@ -291,3 +291,12 @@ def test_edge_kinds_on_empty_and_null_rows(spark):
     names = spark.createDataFrame([("ACME STEEL INC", 100), ("THE ACME STEEL INC PLANT", 5), (None, 1)], "shipper string, n bigint")
     titles = spark.createDataFrame([("ACME STEEL INC", "AC"), (None, "NN"), ("ACME STEEL", None)], "title string, ticker string")
     assert sorted((r["src_id"], r["confidence"], r["weight"]) for r in ed.identity_edges(names, titles).collect()) == [("ACME STEEL INC", "exact", 55.0), ("THE ACME STEEL INC PLANT", "blocked_fuzzy", 40.0)]
+
+
+def test_hubs_are_joined_in_pieces(spark, monkeypatch):
+    edges = spark.createDataFrame([("hub", f"n{i}") for i in range(40)] + [("n1", "n2"), ("n1", "n2")], "a string, b string")
+    features = spark.createDataFrame([(f"n{i}", [float(i), 1.0]) for i in range(40)] + [("hub", [3.0, 4.0]), ("alone", [1.0, 0.0])], "node string, embedding array<double>")
+    rows = lambda hops: {r["node"]: [round(x, 9) for x in r["embedding"]] for r in gr.message_pass(edges, features, hops, 2).collect()}
+    whole = {h: rows(h) for h in (1, 3)}
+    monkeypatch.setattr(gr, "HUB_PIECE", 7)
+    assert {h: rows(h) for h in (1, 3)} == whole and len(whole[1]) == 42
