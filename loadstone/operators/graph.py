@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -146,10 +148,19 @@ def message_pass(edges: DataFrame, features: DataFrame, hops: int = 1, dim: int
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).union(features.select("node", "node"))
     # repeated edges meet the same embedding: they are one row with their number
     both = both.toDF("node", "other").groupBy("node", "other").agg(F.count(F.lit(1)).alias("times"))
-    state, made = features, []
+    state, made, names = features, [], None
     if hops > 1:
-        both = materialize(both)
-        made.append(both)
+        spelled = materialize(both)
+        names = materialize(spelled.select("node").distinct().withColumn("h", F.xxhash64("node")))
+        seen = names.agg(F.count("h"), F.count_distinct("h")).first()
+        if seen[0] == seen[1]:  # no two nodes share a hash: the hops may go by numbers
+            both = materialize(spelled.select(F.xxhash64("node").alias("node"), F.xxhash64("other").alias("other"), "times"))
+            state = features = features.select(F.xxhash64("node").alias("node"), "embedding")
+            made = [both]
+            discard(spelled)
+        else:
+            discard(names)
+            both, names, made = spelled, None, [spelled]
     hubs = materialize(both.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / HUB_PIECE).cast("bigint").alias("pieces")).filter("pieces > 1"))
     made.append(hubs)
     has_hubs = not hubs.isEmpty()
@@ -163,17 +174,19 @@ def message_pass(edges: DataFrame, features: DataFrame, hops: int = 1, dim: int
         met = both.join(copies, on)
         sums = met.groupBy("node").agg(F.sum("times").alias("deg"), *[F.sum(F.col("embedding")[i] * F.col("times")).alias(f"s{i}") for i in range(dim)])
         mean = [F.greatest(F.col(f"s{i}") / F.col("deg"), F.lit(0.0)) for i in range(dim)]
-        last, state = state, sums.select("node", F.array(*mean).alias("embedding"))
+        means = sums.select("node", *[m.alias(f"m{i}") for i, m in enumerate(mean)])
+        last, state = state, means.select("node", F.array(*[f"m{i}" for i in range(dim)]).alias("embedding"))
         if normalize:
-            norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-            state = state.withColumn("norm", norm).select("node", F.when(F.col("norm") > 0, F.transform("embedding", lambda x: x / F.col("norm"))).otherwise(F.col("embedding")).alias("embedding"))
+            norm = F.sqrt(reduce(lambda s, x: s + x, [F.col(f"m{i}") * F.col(f"m{i}") for i in range(dim)], F.lit(0.0)))
+            scaled = means.withColumn("norm", norm)
+            state = scaled.select("node", F.array(*[F.when(F.col("norm") > 0, F.col(f"m{i}") / F.col("norm")).otherwise(F.col(f"m{i}")) for i in range(dim)]).alias("embedding"))
         if hops > 1:
             state = materialize(state)
             if last is not features:
                 discard(last)
     if hops > 1:
         discard(*made)
-    return state
+    return state if names is None else state.withColumnRenamed("node", "h").join(names, "h").select("node", "embedding")
 
 
 def plane_projection(lon: F.Column, lat: F.Column, width: float, height: float) -> tuple[F.Column, F.Column]:
