@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,16 +125,20 @@ def staged_subsample(events: DataFrame, month: str, types: tuple[str, ...], limi
 
 def typed_edges(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) between typed endpoints as "type:id", and all nodes; a node whose other end is missing has no edge."""
-    found = nodes(events).select(F.concat_ws(":", "node_type", "node_id").alias("node"))
     ends = events.select(F.concat("src_type", F.lit(":"), "src_id").alias("a"), F.concat("dst_type", F.lit(":"), "dst_id").alias("b"))
+    found = ends.select(F.explode(F.array("a", "b")).alias("node")).filter("node IS NOT NULL").distinct()  # x:y of z and x of y:z are one
     return ends.filter("a IS NOT NULL AND b IS NOT NULL"), found
 
 
 def hash_features(node: F.Column, dim: int = 32) -> F.Column:
-    """Initial features of a node: sines of the bytes of its sha-256, by position."""
+    """Initial features of a node: sines of the bytes of its sha-256, by position.
+
+    A position has 256 sines, which are looked up: the JVM's differ from the C library's in the last bit.
+    """
     digest = F.sha2(node, 256)
-    byte = lambda i: F.conv(F.substring(digest, 2 * (i % 32) + 1, 2), 16, 10).cast("double")
-    return F.array(*[F.sin((byte(i) + 1) * (i + 1) * 0.13) for i in range(dim)])
+    byte = lambda i: F.conv(F.substring(digest, 2 * (i % 32) + 1, 2), 16, 10).cast("int")
+    sines = lambda i: F.split(F.lit(" ".join(repr(math.sin((b + 1) * (i + 1) * 0.13)) for b in range(256))), " ").cast("array<double>")
+    return F.array(*[F.get(sines(i), byte(i)) for i in range(dim)])
 
 
 def message_pass(edges: DataFrame, features: DataFrame, hops: int = 1, dim: int = 32, normalize: bool = True) -> DataFrame:

@@ -154,6 +154,16 @@ def test_embeddings_cover_all_typed_endpoints(spark, tmp_path):
             assert got[n] == pytest.approx(v, abs=1e-9), (name, n)
 
 
+def test_hash_features_equal_to_the_last_bit(spark):
+    rows = [("carrier", str(k), "state", str(k % 50)) for k in range(800)] + [("a:b", "c", "a", "b:c"), ("a", None, None, "c"), ("", "", "a", "b:c")]
+    _, found = gr.typed_edges(spark.createDataFrame(rows, "src_type string, src_id string, dst_type string, dst_id string"))
+    got = found.select("node", gr.hash_features(F.col("node"))).collect()
+    assert sorted(r[0] for r in got) == sorted({f"{t}:{i}" for r in rows for t, i in (r[:2], r[2:]) if t is not None and i is not None})
+    for node, features in got:
+        digest = hashlib.sha256(node.encode()).digest()
+        assert features == [math.sin((b + 1) * (i + 1) * 0.13) for i, b in enumerate(digest)], node
+
+
 def test_stubs_and_merge(spark):
     df = spark.createDataFrame([("<html><body>Missing Key",), ("x" * 600,), (" ",), (None,), ("tiny",)], "t string")
     assert [r[0] for r in df.select(ql.stub_reason(F.col("t"))).collect()] == ["html_stub", None, "blank", "missing", "below_stub"]
