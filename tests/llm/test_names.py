@@ -80,6 +80,16 @@ SHIPPERS = [
 SCHEMA = "shipper_id bigint, shipper_norm string, n bigint, main_state string, main_city string, sctg2 string"
 
 
+def test_equal_names_share_a_group_if_undecided(spark):
+    """A table of two copies with shifted ids gives each pair of one copy four times, and each row with its copy."""
+    rows = [*[r for r in SHIPPERS if r[0] is not None and r[0] < 15], (20, "GORSIN HELFENDO STEEL COOP", 1, None, None, None), (21, "GORSIN HELFENDO DAIRY INC", 1, None, None, None), (22, "GORSIN HELFENDO", 1, None, None, None)]
+    named = {r[0] for r in rows if r[1] and r[1] != "SELF"}
+    once = {tuple(r) for r in va.group_pairs(va.spelling_groups(spark.createDataFrame(rows, SCHEMA))).collect()}
+    twice = {tuple(r) for r in va.group_pairs(va.spelling_groups(spark.createDataFrame(rows + [(r[0] + 100, *r[1:]) for r in rows], SCHEMA))).collect()}
+    assert {(20, 22), (21, 22)}.isdisjoint(once)
+    assert twice == {tuple(sorted((a + x, b + y))) for a, b in once for x in (0, 100) for y in (0, 100)} | {(a, a + 100) for a in named}
+
+
 def test_groups(spark):
     df = spark.createDataFrame(SHIPPERS, SCHEMA)
     groups = {}
