@@ -61,6 +61,28 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a string, b string")).collect() == []
 
 
+def stages_of(spark, name, run):
+    """The stages that a call submits."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    return len({s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds})
+
+
+def test_components_at_once_equal_those_by_stars(spark):
+    rng = random.Random(3)
+    edges = [(k, k + 1) for k in range(-40, 300) if k % 50] + [(rng.randint(1000, 1400), rng.randint(1000, 1400)) for _ in range(190)] + [(2**62, k) for k in range(2000, 2100)] + [(7, 7), (None, 3)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    least = len({(max(e), min(e)) for e in edges if None not in e and e[0] != e[1]})
+    got = [sorted(map(tuple, connected_components(df, at_once=n).collect())) for n in (least, least - 1)]
+    assert got[0] == got[1] and len(got[0]) > 600 and got[0] == sorted(map(tuple, connected_components(df).collect()))
+    # the driver's memory goes by stages: a round of stars has a dozen, each with buffers, plans and threads of its own
+    assert stages_of(spark, "components", lambda: connected_components(df).collect()) <= 8
+
+
 def test_parsing():
     p = names.parse
     assert p("C O VISPEM LUFULIL STL COOP PLANT 3").business == "STEEL" and p("C O VISPEM LUFULIL STL COOP PLANT 3").keys[0] == "VISPEMLUFULIL"
@@ -131,6 +153,14 @@ def test_matches(spark):
     assert mt.match_companies(shippers.limit(0), tickers.limit(0)).filter("accepted").collect() == []
 
 
+def test_matching_asks_few_stages_of_the_driver(spark):
+    shippers = spark.createDataFrame(SHIPPERS, SCHEMA)
+    tickers = spark.createDataFrame(TITLES, "title_norm string, ticker string, cik string, hq_state string, hq_city string, sic_text string, exchange string")
+    links = spark.createDataFrame([("VISPEM LUFULIL STEEL COOP", "AA", "exact")], "src_id string, dst_id string, confidence string")
+    n = stages_of(spark, "matching", lambda: mt.match_companies(shippers, tickers, links).collect())
+    assert n <= 250, n
+
+
 def views_of(spark, sets, side):
     return spark.createDataFrame([(i, side, [s, []]) for i, s in enumerate(sets)], "id bigint, side string, views array<array<int>>")
 
